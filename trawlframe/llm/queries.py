@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
