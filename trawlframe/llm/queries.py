@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, simhash
+from . import exact_dedup, packing, quality_rules, simhash
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_simhash": simhash.op9_simhash,
