@@ -24,11 +24,11 @@ from .common import crc_mod, materialize, sampled
 SAMPLE_ROWS = 2_000
 ORDERS, BUCKET_BITS = 3, 15
 #: n-grams from which a text's evidence grows no further.
-EVIDENCE = 120
+EVIDENCE = 30
 #: Up to here every split of the languages is a bit; beyond, BITS_PER_DOUBLING random splits per doubling.
 EXHAUSTIVE, BITS_PER_DOUBLING = 5, 10
 #: A difference of losses below this is ambiguous.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.3
 UND = "und"
 
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
