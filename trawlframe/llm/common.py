@@ -54,14 +54,14 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sampled(df: DataFrame, by: str, bound: int, seed: str) -> DataFrame:
+def sampled(df: DataFrame, by: str, bound: int | dict, seed: str) -> DataFrame:
     """About `bound` rows (in expectation; all, if there are fewer) of each value of `by`, chosen by a hash of doc_id.
 
-    One count per value goes to the driver, so `by` must be a label or a language.
+    A bound for each value can be given as a dict. One count per value goes to the driver, so `by` must be a label or a language.
     """
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     share = F.lit(None).cast("double")
     for value, n in counts.items():
-        share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, bound / n))).otherwise(share)
+        share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, (bound[value] if isinstance(bound, dict) else bound) / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.filter(draw < share)
