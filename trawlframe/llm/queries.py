@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_temperature_mixing": mixing.op7_temperature_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_temperature_mixing": mixing.ORACLE,
 }
