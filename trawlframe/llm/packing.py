@@ -23,8 +23,8 @@ from ..session import table
 from .common import materialize
 
 CAPACITY, END = 2048, 0
-#: Rows that a task ranks at a time, about: lengths are split into that many more parts as there are rows.
-RANK_ROWS = 50_000
+#: Rows that are ranked together, about: a length with more is split into parts.
+RANK_ROWS = 1_000
 
 
 class Encoder:
@@ -212,11 +212,14 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def ranked(pieces_table: DataFrame) -> DataFrame:
-    """Adds rank, from 0 within each length, without bringing a length's pieces into one task."""
-    total = pieces_table.count()
-    part = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(max(1, -(-total // RANK_ROWS))))
-    parted = pieces_table.withColumn("part", part)
+def ranked(pieces_table: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds rank, from 0 within each length, without bringing a length's pieces into one task.
+
+    counts, the histogram, says how many parts a length needs; the parts' sizes are then summed up.
+    """
+    spark = pieces_table.sparkSession
+    many = spark.createDataFrame([(x, -(-n // RANK_ROWS)) for x, n in counts.items()], "length long, parts long")  # one row a length
+    parted = pieces_table.join(F.broadcast(many), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("parts"))).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = parted.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start"))
@@ -231,7 +234,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces_table.sparkSession
     counts = {r[0]: r[1] for r in pieces_table.groupBy("length").count().collect()}
     rows = slots(plan(counts, capacity))
-    return placed_by(ranked(pieces_table), spark, rows)
+    return placed_by(ranked(pieces_table, counts), spark, rows)
 
 
 def placed_by(ranks: DataFrame, spark: SparkSession, rows: list[tuple]) -> DataFrame:
