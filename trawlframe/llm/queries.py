@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_temperature_mixing": mixing.op7_temperature_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_temperature_mixing": mixing.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
