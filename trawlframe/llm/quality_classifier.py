@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import crc_mod, materialize, sampled
+from .common import crc_mod, sampled
 
 #: Rows of each label to learn from, about; all, if there are fewer.
 SAMPLE_ROWS = 4_000
@@ -86,9 +86,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> np.
     return weights(np.arange(1 << DIM_BITS))
 
 
-def fit(rows: DataFrame, label: str = "quality") -> np.ndarray | None:
+def fit(rows: DataFrame, label: str) -> np.ndarray | None:
     """Weights learnt from a bounded sample of (doc_id, text, label); its sparse features go to the driver."""
-    sample = sampled(rows.filter(F.col(label).isin(0, 1)), label, SAMPLE_ROWS, "quality-classifier").select("text", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("order"))
+    sample = rows.select("text", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("order"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -121,14 +121,18 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, held_out) -> DataFrame:
-    """Documents with a label, without the held-out ones. A doc_id that repeats in labels counts once, by its larger label."""
-    one = labels.filter(F.col(column).isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(column).alias(column))
-    return docs.select("doc_id", "text").filter(~held_out).join(one, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, bound: int | dict, seed: str) -> DataFrame:
+    """doc_id, text and label of about `bound` learnable documents of each label.
+
+    The sample is drawn among the labels, so that only its rows, of proven number, meet the texts, which stay where they are.
+    A doc_id that repeats in labels counts once, by its larger label.
+    """
+    one = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(column).cast("int").alias(column))
+    return docs.select("doc_id", "text").join(F.broadcast(sampled(one, column, bound, seed)), "doc_id")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 3) == 1
-    weights = fit(labelled(docs, labels, "quality", held_out))
+    weights = fit(labelled(docs, labels, "quality", held_out, SAMPLE_ROWS, "quality-classifier"), "quality")
     return score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
