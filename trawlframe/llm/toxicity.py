@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import crc_mod, sampled
+from .common import crc_mod
 from .quality_classifier import labelled
 
 #: Toxic and other rows to learn from, about; all, if there are fewer.
-SAMPLE_ROWS = {1: 1_500, 0: 3_000}
+SAMPLE_ROWS = {1: 800, 0: 1_600}
 DIM_BITS, ROUNDS, RATE, DECAY = 18, 40, 0.3, 1e-4
 #: A toxic token's word is in so many different toxic texts and such a share of them at least, and so many times as often as in others.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.015, 20.0
 #: Training cuts chains here; scoring never does.
 TRAIN_CHAIN = 256
 #: Tokens that are tagged at a time; a longer document is tagged alone.
@@ -126,14 +127,29 @@ def with_neighbours(own: np.ndarray, left: np.ndarray, right: np.ndarray, first:
     return scores
 
 
+def sketch(ids: np.ndarray) -> set[tuple[int, int]]:
+    """The smallest three-token groups under a few hashes: near copies of a text share one of them, as a rule, and others none."""
+    x = ids.astype(np.uint64)
+    groups = x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ x[2:] * np.uint64(0x165667B19E3779F9) if len(x) > 2 else x
+    return {(k, int((groups * np.uint64(2 * k + 0xD6E8FEB86659FD93)).min())) for k in range(4)} if len(x) else {(0, 0)}
+
+
+def distinct_texts(ids: list[np.ndarray]) -> np.ndarray:
+    """Which texts are no near copies of an earlier one."""
+    seen: set[tuple[int, int]] = set()
+    new = np.zeros(len(ids), bool)
+    for i, own in enumerate(ids):
+        marks = sketch(own)
+        new[i] = not marks & seen
+        seen |= marks
+    return new
+
+
 def weak_labels(ids: list[np.ndarray], toxic: np.ndarray, n_words: int) -> np.ndarray:
-    """Which words mark toxic tokens, from the documents that hold them; copies of a text count once."""
-    held, n, seen = np.zeros((2, n_words)), np.zeros(2), set()
+    """Which words mark toxic tokens, from the different texts that hold them."""
+    held, n = np.zeros((2, n_words)), np.bincount(toxic, minlength=2)
     for own, y in zip(ids, toxic.tolist()):
-        if (key := (y, hash(own.tobytes()))) not in seen:
-            seen.add(key)
-            n[y] += 1
-            held[y, np.unique(own)] += 1
+        held[y, np.unique(own)] += 1
     return (held[1] >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & ((held[1] + 0.05) / max(n[1], 1) >= LEAST_RATIO * (held[0] + 0.5) / max(n[0], 1))
 
 
@@ -142,10 +158,12 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
     number: dict[bytes, int] = {}
     ids = []
     for text in texts:
-        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens_of(text)), np.int64))
+        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens_of(text)), np.int32))
+    new = distinct_texts(ids)
+    ids, toxic = [x for x, keep in zip(ids, new) if keep], toxic[new]
     words = list(number)
     marked = weak_labels(ids, toxic, len(words))
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
     truth = marked[flat] & np.repeat(toxic == 1, [len(x) for x in ids])
     whole = np.array([len(x) for x in ids], np.int64)
     cut = np.concatenate([np.minimum(TRAIN_CHAIN, n - np.arange(0, n, TRAIN_CHAIN)) for n in whole.tolist()] + [np.zeros(0, np.int64)])
@@ -153,11 +171,15 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(cut) - cut)[cut > 0].astype(np.int64)] = True
 
-    feats = [word_features(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(f) for f in feats])
-    bucket = np.array([b for f in feats for b in f], np.int64)
-    lefts = np.array([beside_feature(w, b"<") for w in words], np.int64)
-    rights = np.array([beside_feature(w, b">") for w in words], np.int64)
+    buckets, many = array("i"), array("i")
+    for w in words:
+        own = word_features(w)
+        buckets.extend(own)
+        many.append(len(own))
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.frombuffer(many, np.int32))
+    bucket = np.frombuffer(buckets, np.int32)
+    lefts = np.fromiter((beside_feature(w, b"<") for w in words), np.int32, len(words))
+    rights = np.fromiter((beside_feature(w, b">") for w in words), np.int32, len(words))
     dim, field = 1 << DIM_BITS, Field()
     inner = np.flatnonzero(~first)
     true_pairs = np.bincount(truth[inner - 1] * 2 + truth[inner], minlength=4).reshape(2, 2)
@@ -213,7 +235,7 @@ def per_document(p: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fit(rows: DataFrame) -> Field | None:
     """Learn from (doc_id, text, toxic): a bounded sample of whole texts of each label goes to the driver."""
-    sample = sampled(rows.filter(F.col("toxic").isin(0, 1)), "toxic", SAMPLE_ROWS, "toxicity").select(F.xxhash64("doc_id").alias("order"), F.col("toxic").cast("int").alias("toxic"), "text")
+    sample = rows.select(F.xxhash64("doc_id").alias("order"), F.col("toxic").cast("int").alias("toxic"), "text")
     found = sample.toPandas().sort_values(["order", "toxic"])
     toxic = found["toxic"].to_numpy(np.int64)
     return train(found["text"].tolist(), toxic) if len(set(toxic.tolist())) == 2 else None
@@ -299,6 +321,6 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 5) == 0
-    field = fit(labelled(docs, labels, "toxic", held_out))
+    field = fit(labelled(docs, labels, "toxic", held_out, SAMPLE_ROWS, "toxicity"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return tag(docs, field).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"))
