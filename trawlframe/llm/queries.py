@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_temperature_mixing": mixing.op7_temperature_mixing,
