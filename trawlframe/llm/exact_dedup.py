@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import BLANKS, materialize
+from .common import BLANKS, materialize, numbered
 
 #: A chunk has at least MIN_CHUNK characters and at most MAX_CHUNK, but for a text's last one.
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
@@ -75,7 +75,7 @@ def decide(docs: DataFrame, key=F.xxhash64, uid: str | None = None) -> DataFrame
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
     number = "__row_of_exact_dedup"
-    own = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    own = numbered(docs, number)
     kept = decide(own, uid=number).filter("kept").select(F.col("uid").alias(number))
     return own.join(kept, number, "left_semi").drop(number)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import materialize
+from .common import materialize, numbered
 from .components import connected_components
 
 BITS, BUDGET, WIDTH, SEED = 64, 2, 3, 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["uid", "doc_id", "fp"])
 
-    return docs.mapInArrow(make, "uid long, doc_id long, fp long")
+    return docs.mapInArrow(make, "uid string, doc_id long, fp long")
 
 
 class Forest:
@@ -173,7 +173,7 @@ def links(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
 def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """uid, doc_id, fp, component_id and first_uid: one row per document, with the class it belongs to and the row that names it."""
     number = F.col(uid) if uid else F.monotonically_increasing_id()
-    hashed = fingerprints(docs.select(number.alias("uid"), "doc_id", "text"))
+    hashed = fingerprints(docs.select(number.cast("string").alias("uid"), "doc_id", "text"))
     rows = materialize(hashed, "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))).alias("first")
     nodes = materialize(rows.groupBy("fp").agg(best), "distinct-fingerprints")
@@ -188,7 +188,7 @@ def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies of a document with a smaller doc_id, with their own columns."""
     number = "__row_of_simhash"
-    own = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    own = numbered(docs, number)
     kept = classes(own, number).filter("uid = first_uid").select(F.col("uid").alias(number))
     return own.join(kept, number, "left_semi").drop(number)
 
