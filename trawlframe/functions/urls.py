@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: scheme, authority, path, query, fragment, each with its mark (RFC 3986, appendix B; a scheme begins with a letter).
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?s:(//(?!/)[^/?#]*|//(?=/)(?<=:..)|)([^?#]*)(\?[^#]*)?(#.*)?)$"
+#: scheme, authority, path, query, fragment, each with its mark (RFC 3986, appendix B). A scheme begins with a letter;
+#: without one, three slashes are a path.
+_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*+):)?+((?<=:)//[^/?#]*+|^//(?!/)[^/?#]*+|)([^?#]*+)(\?[^#]*+)?+(#.*+)?+\z"
 _BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 #: What a path may hold as it is; a path with anything else is decoded and encoded anew.
 _PLAIN_PATH = r"^[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]%]*$"
