@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 _S = r"[\t\n\f\r ]"
 _ATTR = rf"[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_S}*+={_S}*+(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >\"'][^\t\n\f\r >]*+)?+)?+"
 _ATTRS = rf"(?:[\t\n\f\r /]++|{_ATTR})*+"
@@ -43,29 +45,31 @@ def attribute_name(attribute: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references with a semicolon: the common names, and numbers."""
-    out = text
     pattern = "&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
-    refs, gaps = F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), F.split(out, pattern, -1)
 
     def char(ref: Column) -> Column:
         digits = F.regexp_replace(ref, "[&#xX;]", "")
         code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        safe = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code).otherwise(F.lit(0xFFFD))
+        safe = let(code, lambda c: F.when((c > 0) & (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF), c).otherwise(F.lit(0xFFFD)))
         return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
-    numbered = F.array_join(F.zip_with(gaps, F.transform(refs, char), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
-    out = F.when(out.contains("&#"), numbered).otherwise(out)
-    named = out
-    for name, c in _NAMED.items():
-        named = F.replace(named, F.lit(name), F.lit(c))
-    return F.when(out.contains("&"), named).otherwise(out)
+    def numbers(t: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), char)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), refs, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+
+    def of(t: Column) -> Column:
+        out = F.when(t.contains("&#"), numbers(t)).otherwise(t)
+        for name, c in _NAMED.items():
+            out = F.replace(out, F.lit(name), F.lit(c))
+        return F.when(t.contains("&"), out).otherwise(t)
+
+    return let(text, of)
 
 
 def attribute_value(attribute: Column) -> Column:
     """The value without its quotes, references decoded; '' where there is none."""
     raw = F.regexp_replace(attribute, rf"^[^\t\n\f\r />][^\t\n\f\r />=]*+{_S}*+=?{_S}*+", "")
-    quoted = raw.startswith('"') | raw.startswith("'")
-    return unescape(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+    return unescape(let(raw, lambda r: F.when(r.startswith('"') | r.startswith("'"), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r)))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -81,4 +85,5 @@ def url_attribute(tag: Column) -> Column:
 def resource_url(tag: Column, attrs: Column) -> Column:
     """The URL that a tag refers to; a link counts only as a style sheet, by its exact type or rel."""
     sheet = attribute(attrs, "type").eqNullSafe("text/css") | attribute(attrs, "rel").eqNullSafe("stylesheet")
-    return F.when(tag.isin("script", "img"), attribute(attrs, "src")).when((tag == "a") | ((tag == "link") & sheet), attribute(attrs, "href"))
+    wanted = F.when(tag.isin("script", "img"), "src").when((tag == "a") | ((tag == "link") & sheet), "href")
+    return let(wanted, lambda name: attribute_value(F.get(F.filter(attrs, lambda a: attribute_name(a) == name), F.lit(0))))

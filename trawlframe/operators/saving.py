@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, paths, urls
+from ..functions.binding import let
 from .extract import references
 
 
 def page_path(p: Column) -> Column:
     """Where a page is saved: 'index' at a root, '.html' always added."""
-    return paths.save_path(urls.decoded_path(p), urls.text(p), "index", "html")
+    return let(p, lambda q: paths.save_path(urls.decoded_path(q), urls.text(q), "index", "html"))
 
 
 def link_path(p: Column, root_name: str = "") -> Column:
     """Where a rewritten link points: MD5 of the URL at a root, unless a root_name (such as 'index') mends that."""
-    return paths.save_path(urls.decoded_path(p), urls.text(p), root_name, "html")
+    return let(p, lambda q: paths.save_path(urls.decoded_path(q), urls.text(q), root_name, "html"))
 
 
 def asset_path(p: Column) -> Column:
-    return paths.save_path(urls.decoded_path(p), urls.text(p), "", "")
+    return let(p, lambda q: paths.save_path(urls.decoded_path(q), urls.text(q), "", ""))
 
 
 def with_page_path(pages: DataFrame) -> DataFrame:

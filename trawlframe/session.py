@@ -27,3 +27,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, through Spark's reader so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its scan has fewer tasks than there are: a small table in one file is parsed by all of them.
+
+    A scan with more tasks stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 
 def seeds(spark: SparkSession, *urls: str) -> DataFrame:
@@ -18,7 +18,7 @@ def asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.expr("""concat('<img src="/img/', page_id % 7, '.png"><link rel=stylesheet href="../css/', page_id % 3, '.css?v=1#x">',
       '<script src="https://cdn.example.org/', page_id % 5, '.js"></script><script src="app.js"></script>',
       '<a href="#sec">s</a><a href="?page=2">n</a><a href="../up/x.html#f">u</a><a href="mailto:a@b.c">m</a><a name="n">x</a><a href="">e</a>')""")
-    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", extra))
+    return spread(table(spark, sf_dir, "pages")).withColumn("html", F.concat("html", extra))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

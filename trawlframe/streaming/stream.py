@@ -14,9 +14,12 @@ from ..storage import shared_dir
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table's files as a stream; maxFilesPerTrigger holds a burst back."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A table's files as a stream; maxFilesPerTrigger holds a burst back.
+
+    The path is a pattern, since a stream takes a plain one for a folder and a table may be a single file.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
