@@ -1,54 +1,19 @@
-"""What the training-data operators share: tables in the shared folder, split rules, word rules."""
+"""What the training-data operators share: row identities, samples, split rules, word rules."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir
+
+__all__ = ["BLANKS", "WORD", "crc_mod", "materialize", "numbered", "sampled", "shared_dir"]
+
 #: The characters that separate words in every operator here.
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
 
-_written: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="trawlframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(path: str) -> None:
-    try:
-        spark = _written.pop(path)
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone; the folder's owner clears it
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
-
-    The files stay until the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trawlframe/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(lambda: [_remove(p) for p in list(_written)])
-    _written[path] = spark
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text form modulo n: the split of rows into learning and held-out ones. A null counts as ''."""
