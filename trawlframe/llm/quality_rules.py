@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
 Two histograms of each text - character classes, and the common words of its language with everything else
-as one more bin - are held against the references of its language (the sums over all its documents) by
+as one more bin - are held against the references of its language (the mean over all its documents) by
 Jensen-Shannon distance. A text with too few characters or words is not judged by the histogram
 that needs them. Null text has no words and fails the base rule. A null or unseen language is held
 against the references of all documents together.
@@ -22,6 +22,8 @@ from .common import materialize
 
 #: Share of a language's words from which a word is common and has a bin of its own.
 COMMON_SHARE = 0.002
+#: What a document weighs in its language's reference.
+ONE = 1 << 26
 #: Largest Jensen-Shannon distances (base 2, so 0 to 1) at which a text is kept.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.45
 #: Below so many bytes or words a histogram says too little to reject by it.
@@ -72,10 +74,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(d, 0.0)))
 
 
-def language_counts(docs: DataFrame) -> DataFrame:
+def language_weights(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over all whole documents with a language; words are lower-cased (A-Z).
 
-    Rows whose word is a space and a number hold the character classes, the row ' all' the number of words.
+    Every document has the same weight, ONE, shared out among its words, so that a very long one does not speak for its
+    language; shares are whole numbers, so that sums do not depend on their order. Rows whose word is a space and a number
+    hold the character classes, the row ' all' what all words weigh.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +88,15 @@ def language_counts(docs: DataFrame) -> DataFrame:
             classes: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
+                if not raw:
+                    continue
                 found = raw.lower().split()
-                words.setdefault(lang, Counter()).update(found)
-                words[lang][b" all"] += len(found)
-                classes[lang] = classes.get(lang, 0) + char_histogram(raw)
+                own = words.setdefault(lang, Counter())
+                share = ONE // max(len(found), 1)
+                for word, k in Counter(found).items():
+                    own[word] += k * share
+                own[b" all"] += share * len(found)
+                classes[lang] = classes.get(lang, 0) + char_histogram(raw) * ONE // len(raw)
             for lang, counted in words.items():
                 counted.update({f" {i}".encode(): int(n) for i, n in enumerate(classes[lang])})
                 keys = pa.array([k.decode() for k in counted])
@@ -98,7 +107,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
 
 
 class Reference:
-    """One language: class counts, the bins of its common words, and their counts with all others last."""
+    """One language: class weights, the bins of its common words, and their weights with all others last."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         own = dict(rows)
@@ -116,7 +125,7 @@ class Reference:
 
 def references(docs: DataFrame) -> dict[str, Reference]:
     """A reference per language. A common word holds COMMON_SHARE of its language's words or more, so there are at most 1 / COMMON_SHARE of them to bring to the driver."""
-    counts = materialize(language_counts(docs), "language-words")
+    counts = materialize(language_weights(docs), "language-words")
     totals = {r[0]: r[1] for r in counts.filter("word = ' all'").select("lang", "n").collect()}
     if not totals:
         return {}
