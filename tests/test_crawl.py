@@ -19,8 +19,9 @@ def test_walk_levels(spark, sf):
     assert [r["count"] for r in found] == [1, 2, 3, 5, 8, 13, 11, 5, 2]
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_limited_crawl_keeps_its_order_however_edges_are_dealt(spark, sf, parts):
+@pytest.mark.parametrize(("parts", "small"), [(1, 100), (7, 100), (7, 3)])
+def test_limited_crawl_keeps_its_order_however_edges_are_dealt(spark, sf, parts, small, monkeypatch):
+    monkeypatch.setattr(frontier, "SMALL_LIMIT", small)
     edges = queries.site_edges(spark, sf).repartition(parts)
     found = frontier.crawl(edges, tables.seeds(spark, "https://site.example/p/0"), 20).orderBy("rank").collect()
     assert [int(r.url.rsplit("/", 1)[1]) for r in found] == [0, 1, 3, 10, 7, 24, 21, 23, 15, 2, 49, 43, 47, 14, 31, 8, 5, 17, 46, 37]

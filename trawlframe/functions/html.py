@@ -20,7 +20,7 @@ _RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp"
 TOKEN = (
     rf"(?i)<!--(?s:.*?)(?:--!?>|\z)|<[!?][^>]*+>|<({_RAW})(?=[\t\n\f\r />]){_ATTRS}>(?s:.*?)(?=</\1[\t\n\f\r />]|\z)|</?[a-z][^\t\n\f\r />]*+{_ATTRS}>"
 )
-_OPEN = rf"^<([A-Za-z][^\t\n\f\r />]*+)({_ATTRS})>"
+_OPEN = rf"^<[A-Za-z][^\t\n\f\r />]*+({_ATTRS})>"
 URL_TAGS = ("a", "link", "script", "img")
 _NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -31,12 +31,12 @@ def tokens(html: Column) -> Column:
 
 def tag_name(token: Column) -> Column:
     """Lower-case name of an opening tag, '' for any other token."""
-    return F.lower(F.regexp_extract(token, _OPEN, 1))
+    return F.lower(F.regexp_extract(token, r"^<([A-Za-z][^\t\n\f\r />]*+)", 1))
 
 
 def attributes(token: Column) -> Column:
     """The attributes of an opening tag as they stand, in order."""
-    return F.regexp_extract_all(F.regexp_extract(token, _OPEN, 2), F.lit(_ATTR), F.lit(0))
+    return F.regexp_extract_all(F.regexp_extract(token, _OPEN, 1), F.lit(_ATTR), F.lit(0))
 
 
 def attribute_name(attribute: Column) -> Column:

@@ -34,9 +34,20 @@ def ranked(items: DataFrame, order: list[str], rank: str) -> DataFrame:
     return held.withColumn(rank, number.cast("long")).drop("__slice", "__row")
 
 
+#: Up to here a limit is taken by keeping each partition's best; a larger one by ranks, so that no task holds it all.
+SMALL_LIMIT = 100_000
+
+
+def first_n(items: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n items in order."""
+    if n <= SMALL_LIMIT:
+        return items.orderBy(*order).limit(max(n, 0))
+    return ranked(items, order, "__place").filter(F.col("__place") < n).drop("__place")
+
+
 def limited(items: DataFrame, order: list[str], limit: int, rank: str = "rank") -> DataFrame:
-    """The first `limit` items in order, ranked from 0: a limit taken in every partition before they meet."""
-    return ranked(items.orderBy(*order).limit(limit), order, rank)
+    """The first `limit` items in order, ranked from 0."""
+    return ranked(first_n(items, order, limit), order, rank)
 
 
 def walk(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
@@ -75,8 +86,8 @@ def crawl(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
         new = materialize(unseen(first_of_each(found, "url", order), merged(seen)), f"found-{level}")
         if new.isEmpty():
             return merged(done).select("url", "kind", "level", "rank")
-        links = new.filter("kind = 'page'").orderBy(*order).limit(limit - pages) if pages < limit else new.filter("false")
-        taken = links.union(new.filter("kind <> 'page'"))
+        links = first_n(new.filter("kind = 'page'"), order, limit - pages)
+        taken = links.unionByName(new.filter("kind <> 'page'"))
         placed = ranked(taken, order, "__rank").select("url", "kind", (F.col("__rank") + total).alias("rank"))
         accepted = materialize(placed.withColumn("level", F.lit(level)), f"accepted-{level}")
         counts = {r[0]: r[1] for r in accepted.groupBy("kind").count().collect()}
