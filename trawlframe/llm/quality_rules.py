@@ -3,8 +3,8 @@
 Two histograms of each text - character classes, and the common words of its language with everything else
 as one more bin - are held against the references of its language (the mean over all its documents) by
 Jensen-Shannon distance. A text with too few characters or words is not judged by the histogram
-that needs them. Null text has no words and fails the base rule. A null or unseen language is held
-against the references of all documents together.
+that needs them. Null text has no words and fails the base rule. A text of null or unseen language is held
+against every reference, and the nearest counts; without any reference the base rule alone decides.
 """
 
 from __future__ import annotations
