@@ -174,3 +174,50 @@ def test_stream_frontier_over_batches(spark, tmp_path):
 def test_spread_leaves_large_scans_alone(spark):
     assert spread(spark.range(100, numPartitions=50)).rdd.getNumPartitions() == 50
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() > 1
+
+
+class LinkedSite(Site):
+    pages = {
+        "/": b'<link rel=stylesheet href="/s/a.css"><a href="/one?x=1">1</a><a href="two/">2</a><a href="http://other.example/">o</a>',
+        "/one?x=1": b'<a href="/">up</a><a href="/gone">g</a><img src="/i.png">',
+        "/two/": "<a href='../für'>f</a>".encode(),
+        "/f%C3%BCr": b"<p>end</p><a href=/beyond>b</a>",
+        "/s/a.css": b"a{}",
+        "/i.png": b"\x89PNG\xff",
+    }
+
+    def do_HEAD(self):
+        self.send_response(200)
+        self.end_headers()
+
+    def do_GET(self):
+        self.send_response(200 if self.path in self.pages else 404)
+        self.end_headers()
+        self.wfile.write(self.pages.get(self.path, b""))
+
+
+def test_whole_crawl(spark, tmp_path):
+    from trawlframe.plans.crawl import crawl
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), LinkedSite)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    settings = config.CrawlConfig(url=f"{base}/", max_count=5, max_concurrent=2, retry_delay=config.Duration(0.01), output_dir=str(tmp_path)).validated()
+    found = crawl(spark, settings).orderBy("rank").collect()
+    server.shutdown()
+    assert [(r.url.removeprefix(base), r.kind, r.level, r.skipped_on) for r in found] == [
+        ("/", "page", 0, None), ("/one?x=1", "page", 1, None), ("/two/", "page", 1, None), ("/s/a.css", "asset", 1, None),
+        ("/gone", "page", 2, "download"), ("/i.png", "asset", 2, None), ("/f%C3%BCr", "page", 2, None),
+    ]
+    assert (tmp_path / "i.png").read_bytes() == b"\x89PNG\xff" and (tmp_path / "s/a.css").exists() and not (tmp_path / "gone.html").exists()
+    assert (tmp_path / "index.html").read_text() == '<link rel=stylesheet href="./s/a.css"><a href="./one.html">1</a><a href="./two/two.html">2</a><a href="http://other.example/">o</a>'
+    assert (tmp_path / "two/two.html").read_text() == '<a href="../für.html">f</a>'
+
+
+def test_crawl_of_a_table(spark, sf, tmp_path):
+    from trawlframe.plans.crawl import crawl, table_fetcher
+
+    pages = tables.site_pages(spark, sf)
+    settings = config.CrawlConfig(url="https://site.example/p/0", max_count=4, output_dir=str(tmp_path))
+    found = crawl(spark, settings, table_fetcher(pages)).orderBy("rank").collect()
+    assert [r.url.rsplit("/", 1)[1] for r in found] == ["0", "1", "3", "10"] and (tmp_path / "p/0.html").exists()

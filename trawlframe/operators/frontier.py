@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -70,19 +71,30 @@ def walk(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> D
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """url, kind, level and rank of what a crawl of an edge table accepts; edges are src_url, kind, kind_rank, pos, dst_url."""
+
+    def expand(accepted: DataFrame) -> DataFrame:
+        parents = accepted.filter("kind = 'page'").select(F.col("url").alias("src_url"), F.col("rank").alias("parent"))
+        return edges.join(parents, "src_url").select(F.col("dst_url").alias("url"), "parent", "kind_rank", "pos", "kind")
+
+    return grow(expand, seeds, limit)
+
+
+def grow(expand: Callable[[DataFrame], DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
     """url, kind, level and rank of what a crawl with one worker a stage accepts, in its order, with at most `limit` pages.
 
-    edges are src_url, kind, kind_rank, pos, dst_url. Order: level, rank of the parent, links before assets, position. A
-    page beyond the limit is refused but stays seen, so that an asset of that URL is refused later too.
+    `expand` turns what a level accepted (url, kind, rank, level) into candidates (url, parent, kind_rank, pos, kind). Order:
+    level, rank of the parent, links before assets, position. A page beyond the limit is refused but stays seen, so
+    that an asset of that URL is refused later too. Ends when a level brings nothing new.
     """
+    order = ["parent", "kind_rank", "pos"]
     seed = first_of_each(seeds.select("url", F.lit(0).alias("pos")), "url", ["pos"]).drop("pos")
     accepted = materialize(limited(seed.select("url", F.lit("page").alias("kind")), ["url"], limit).withColumn("level", F.lit(0)), "accepted-0")
-    done, seen, total, pages, level = [accepted], [accepted.select("url")], accepted.count(), accepted.count(), 0
+    pages = total = accepted.count()
+    done, seen, level = [accepted], [accepted.select("url")], 0
     while True:
         level += 1
-        parents = accepted.filter("kind = 'page'").select(F.col("url").alias("src_url"), F.col("rank").alias("parent"))
-        order = ["parent", "kind_rank", "pos"]
-        found = edges.join(parents, "src_url").select(F.col("dst_url").alias("url"), *order, "kind")
+        found = expand(accepted).select("url", *order, "kind")
         new = materialize(unseen(first_of_each(found, "url", order), merged(seen)), f"found-{level}")
         if new.isEmpty():
             return merged(done).select("url", "kind", "level", "rank")
