@@ -50,6 +50,16 @@ def word_features(word: bytes) -> list[int]:
     return [(zlib.crc32(x) * 2654435761 & 0xFFFFFFFF) >> (32 - DIM_BITS) for x in own[:24]]
 
 
+def word_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words one after the other, and how many each has."""
+    buckets, many = array("i"), array("i")
+    for w in words:
+        own = word_features(w)
+        buckets.extend(own)
+        many.append(len(own))
+    return np.frombuffer(buckets, np.int32), np.frombuffer(many, np.int32)
+
+
 def beside_feature(word: bytes, side: bytes) -> int:
     return (zlib.crc32(side + word) * 2654435761 & 0xFFFFFFFF) >> (32 - DIM_BITS)
 
@@ -107,10 +117,10 @@ class Field:
 
     def score_words(self, words: list[bytes]) -> np.ndarray:
         """Three scores of each word: of itself, as left and as right neighbour."""
-        out = np.empty((len(words), 3))
-        for i, w in enumerate(words):
-            out[i] = self.unary[word_features(w)].sum(), self.left[beside_feature(w, b"<")], self.right[beside_feature(w, b">")]
-        return out
+        buckets, many = word_buckets(words)
+        own = np.add.reduceat(self.unary[buckets], np.cumsum(many) - many)  # every word has a bucket
+        left = self.left[[beside_feature(w, b"<") for w in words]]
+        return np.stack([own, left, self.right[[beside_feature(w, b">") for w in words]]], axis=1)
 
     def document_score(self, largest: np.ndarray, total: np.ndarray) -> np.ndarray:
         x = self.last[0] + self.last[1] * largest + self.last[2] * np.log(total + 1e-3)
@@ -171,13 +181,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(cut) - cut)[cut > 0].astype(np.int64)] = True
 
-    buckets, many = array("i"), array("i")
-    for w in words:
-        own = word_features(w)
-        buckets.extend(own)
-        many.append(len(own))
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.frombuffer(many, np.int32))
-    bucket = np.frombuffer(buckets, np.int32)
+    bucket, many = word_buckets(words)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), many)
     lefts = np.fromiter((beside_feature(w, b"<") for w in words), np.int32, len(words))
     rights = np.fromiter((beside_feature(w, b">") for w in words), np.int32, len(words))
     dim, field = 1 << DIM_BITS, Field()
@@ -276,14 +281,17 @@ class Tagger:
 
 
 def blocks(texts: list[str | None]) -> Iterator[list[int]]:
-    """Positions of texts in groups of about BLOCK tokens (six bytes each)."""
+    """Positions of texts in groups of about BLOCK tokens (six characters each), the longest texts first.
+
+    A group takes as many steps as its longest text has tokens, so texts of a length belong together.
+    """
     group, size = [], 0
-    for i, text in enumerate(texts):
-        if group and size + len(text or "") > BLOCK * 6:
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
+        if group and size + len(texts[i] or "") > BLOCK * 6:
             yield group
             group, size = [], 0
         group.append(i)
-        size += len(text or "")
+        size += len(texts[i] or "")
     if group:
         yield group
 
