@@ -37,3 +37,39 @@ def test_stages_call_their_operators():
 def test_empty_table(spark, tmp_path):
     folder = written(documents(spark, ["x"]).limit(0), tmp_path)
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_edited_copies_go(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [speech(rng, LANGS["aa"], 300).split() for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    few, many = list(words[3]), list(words[4])
+    for at in (50, 120, 200):  # 15 of 296 word runs: similarity 0.90
+        few[at] = "edited"
+    for at in range(10, 300, 20):  # 75 of 296: 0.60
+        many[at] = "edited"
+    rows += [(100, " ".join(few)), (101, " ".join(many)), (102, " ".join(words[5][:260]))]  # the last one: 256 of 296, 0.86
+    kept = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "")
+    assert {r.doc_id for r in kept.collect()} == {*range(30), 101}
+
+
+def test_near_copies_match_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [speech(rng, LANGS["aa"], 80) for _ in range(6)]
+    for _ in range(150):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = speech(rng, LANGS["cc"], 1)
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    kept = simhash.one_of_each(documents(spark, texts))
+    assert {r.doc_id for r in kept.collect()} == set(label) and 6 < len(set(label)) < 150

@@ -6,6 +6,8 @@ traversed together, with the bits that differ so far, until the error budget is
 fingerprint and enter the join once. A group emits a spanning forest of its links, not all pairs, and
 connected components over those forests give the classes.
 
+That is op9's contract. The pipeline's stage (one_of_each) has a wider notion of near copies, see there.
+
 Null text counts as empty; texts without a word have fingerprint zero and link like any other. Rows that
 share a doc_id are separate rows; a null doc_id never names a class unless the class has no other.
 """
@@ -29,19 +31,23 @@ BITS, BUDGET, WIDTH, SEED = 64, 2, 3, 42
 LEAF = 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a whole text."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hash of each run of `width` words, in order; of the whole text, if it has fewer; none without a word."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six blanks
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
     starts = np.cumsum(lengths + 1) - lengths - 1
-    last = max(n - WIDTH, 0)
-    ends = (starts + lengths)[min(WIDTH, n) - 1 :]
+    last = max(n - width, 0)
+    ends = (starts + lengths)[min(width, n) - 1 :]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts[: last + 1].tolist(), ends.tolist())), np.uint64, last + 1)
+    return np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts[: last + 1].tolist(), ends.tolist())), np.uint64, last + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most of the hashes have."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
@@ -49,6 +55,11 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a whole text."""
+    return majority(shingles(text))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """uid, doc_id and fp, the fingerprint as a signed long; one row per document (uid, doc_id, text)."""
 
@@ -185,11 +196,108 @@ def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
     return rows.join(mapping, "fp").select("uid", "doc_id", "fp", "component_id", "first_uid")
 
 
+#: Near copies for the pipeline share SIMILARITY of their different runs of NEAR_WIDTH words (Jaccard) or more.
+NEAR_WIDTH, SIMILARITY = 5, 0.8
+#: They meet under one of BANDS keys of ROWS minima each: a pair at SIMILARITY is missed by one in 17,000, a closer one more rarely.
+BANDS, ROWS = 32, 6
+#: Pairs that met and differ in more SimHash bits are not compared; at SIMILARITY 10 bits are expected, with a deviation of 3.
+NEAR_BITS = 26
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band, of the smallest of the hashes under ROWS orders; none without a hash."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(low, ((hashes[None, i : i + 1024] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=low)
+    return [int.from_bytes(xxhash.xxh64_digest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k), "little", signed=True) for k in range(BANDS)]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, key (the same for equal sets of word runs) and band keys; one row per document (uid, doc_id, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t.as_py(), NEAR_WIDTH)) for t in batch.column(2)]
+            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, bands], ["uid", "doc_id", "key", "bands"])
+
+    return docs.mapInArrow(make, "uid string, doc_id long, key binary, bands array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9
+
+
+def set_classes(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest position in the class of each set, where similar sets are of a class; pairs of one class already are not compared."""
+    fps, label = np.array([majority(x) for x in sets], np.uint64), np.arange(len(sets))
+    for i in range(1, len(sets)):
+        bits = np.bitwise_count(fps[:i] ^ fps[i])
+        near = np.flatnonzero(bits <= NEAR_BITS)
+        near = near[np.argsort(bits[near], kind="stable")]
+        while len(near):
+            j = near[0]
+            if similar(sets[i], sets[j]):
+                x, y = sorted((label[i], label[j]))
+                label[: i + 1][label[: i + 1] == y] = x
+                near = near[label[near] != x]
+            else:
+                near = near[1:]
+    return label
+
+
+def near_classes(members: DataFrame) -> DataFrame:
+    """(key, root): the class of each member (cluster, key, text), from exact comparisons inside its cluster."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, keys, sets = None, [], []
+
+        def told() -> pa.RecordBatch:
+            roots = [keys[i] for i in set_classes(sets).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(roots, pa.binary())], ["key", "root"])
+
+        for batch in batches:
+            for c, key, text in zip(*(batch.column(i) for i in range(3))):
+                if c.as_py() != cluster:
+                    if keys:
+                        yield told()
+                    cluster, keys, sets = c.as_py(), [], []
+                keys.append(key.as_py())
+                sets.append(np.unique(shingles(text.as_py(), NEAR_WIDTH)))
+        if keys:
+            yield told()
+
+    return members.repartition("cluster").sortWithinPartitions("cluster", "key").mapInArrow(compare, "key binary, root binary")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies of a document with a smaller doc_id, with their own columns."""
+    """The documents without near copies (SIMILARITY) of a document with a smaller doc_id, with their own columns.
+
+    SimHash blocks cannot bring such pairs together: 64 bits in the twenty blocks that their distance asks for are three bits each.
+    So bands of minima name the pairs that may link, their components are clusters, and SimHash and exact sets decide inside those.
+    """
     number = "__row_of_simhash"
     own = numbered(docs, number)
-    kept = classes(own, number).filter("uid = first_uid").select(F.col("uid").alias(number))
+    rows = materialize(sketches(own.select(F.col(number).alias("uid"), "doc_id", "text")), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))).alias("first")
+    nodes = materialize(rows.groupBy("key").agg(first), "distinct-sets")
+    bands = rows.join(nodes.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("key", F.explode("bands").alias("band"))
+    bands = materialize(bands, "bands")
+    shared = bands.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("band", "a")
+    met = bands.join(materialize(shared, "shared-bands"), "band").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
+    clusters = materialize(connected_components(met).select(F.col("root").alias("cluster"), F.col("node").alias("key")), "clusters")
+    wanted = materialize(clusters.join(nodes, "key").select("cluster", "key", F.col("first.uid").alias(number)), "cluster-members")
+    found = materialize(near_classes(own.select(number, "text").join(wanted, number).select("cluster", "key", "text")), "near-classes")
+    kept = nodes.join(found, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.uid").alias(number)), "kept-documents")
     return own.join(kept, number, "left_semi").drop(number)
 
 
