@@ -60,6 +60,15 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_short_lines_take_part_when_equal(spark, tmp_path):
+    rows = [(i, f"Read more\n\nwords of document {i} alone\n{i}\n ") for i in range(60)] + [(60, "Read more!"), (61, "Read more\n"), (62, "59")]
+    docs = documents(spark, rows)
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert kept[0] == rows[0][1] and kept[60] == "Read more!" and set(kept) == set(range(61))
+    assert all(kept[i] == f"\nwords of document {i} alone\n{i}\n " for i in range(1, 60))
+    assert line_dedup.op8_line_dedup(spark, written(docs, tmp_path)).filter("n_dropped > 0").count() == 0  # as its SQL has it
+
+
 @pytest.mark.parametrize("budget", [1, 2, 3])
 def test_edit_distance(spark, budget):
     def distance(a, b):

@@ -8,7 +8,8 @@ character form a clique, and a line with one character taken out names its short
 grouping by key, so a group of thousands of variants costs what its lines cost, never their pairs; a clique is kept
 as a star and counted as what it is. Every link that joins classes is verified by a banded bit-parallel edit distance.
 
-Only lines of MIN_CHARS characters or more take part; shorter ones stay as they are. Of a class the occurrence with the
+In op8, as its SQL has it, only lines of MIN_CHARS characters or more take part; shorter ones stay as they are. In the pipeline's
+stage (deduplicated) shorter lines with a word take part too, but only equal ones are alike: an edit is much of a short line. Of a class the occurrence with the
 smallest doc_id stays (then the first row, then the first line), all others go. Lines end at \\n; null text has one
 empty line. Equal lines are known by their SHA-256. A null doc_id sorts after all others.
 """
@@ -27,10 +28,11 @@ from .components import connected_components
 THRESHOLD, BLOCKS, MIN_CHARS = 1, 16, 40
 
 
-def lines_of(docs: DataFrame, uid: str) -> DataFrame:
-    """uid, doc_id, pos and line of every line that takes part."""
+def lines_of(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
+    """uid, doc_id, pos and line of every line that takes part; with `short`, also of shorter ones that have a word."""
     split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")
-    return docs.select(F.col(uid).alias("uid"), "doc_id", split).filter(F.char_length("line") >= MIN_CHARS)
+    long = F.char_length("line") >= MIN_CHARS
+    return docs.select(F.col(uid).alias("uid"), "doc_id", split).filter(long | F.col("line").rlike(WORD) if short else long)
 
 
 def sha(text: Column) -> Column:
@@ -57,9 +59,10 @@ def meeting(keys: DataFrame) -> DataFrame:
     return shared.filter("a <> b and own = 1").select("key")
 
 
-def occurrences(docs: DataFrame, uid: str) -> DataFrame:
-    """One row per line occurrence, without its text: uid, doc_id, pos, sha, id (64 bits of it) and segment keys."""
-    rows = lines_of(docs, uid).select("uid", "doc_id", "pos", sha(F.col("line")).alias("sha"), segments(F.col("line"), F.char_length("line")).alias("keys"))
+def occurrences(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
+    """One row per line occurrence, without its text: uid, doc_id, pos, sha, id (64 bits of it) and segment keys (none of lines too short for edits)."""
+    keys = F.when(F.char_length("line") >= MIN_CHARS, segments(F.col("line"), F.char_length("line"))).otherwise(F.array().cast("array<bigint>"))
+    rows = lines_of(docs, uid, short).select("uid", "doc_id", "pos", sha(F.col("line")).alias("sha"), keys.alias("keys"))
     return rows.withColumn("id", F.xxhash64("sha"))
 
 
@@ -146,9 +149,9 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str) -> DataFrame:
     return materialize(found, "first-lines")
 
 
-def repeated(docs: DataFrame, uid: str) -> DataFrame:
+def repeated(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
     """One row per document that holds lines of such classes: uid, n_links, and dropped (pos, first_doc, first_pos) in order of pos."""
-    rows = materialize(occurrences(docs, uid), "line-occurrences")
+    rows = materialize(occurrences(docs, uid, short), "line-occurrences")
     firsts = line_classes(rows, docs, uid)
     goes = (F.col("uid") != F.col("first_uid")) | (F.col("pos") != F.col("first_pos"))
     found = rows.select("uid", "pos", "sha").join(firsts, "sha")
@@ -160,7 +163,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without repeated lines, with their own columns; a document that loses lines and has no word left goes. n_chars, if there, follows the text."""
     name = "__row_of_line_dedup"
     own = numbered(docs, name)
-    cut = materialize(repeated(own, name).filter(F.size("dropped") > 0).select(F.col("uid").alias(name), F.col("dropped.pos").alias("__gone")), "dropped-lines")
+    cut = materialize(repeated(own, name, short=True).filter(F.size("dropped") > 0).select(F.col("uid").alias(name), F.col("dropped.pos").alias("__gone")), "dropped-lines")
     parts = F.split(F.col("text"), "\n", -1)
     rest = F.array_join(F.filter(F.transform(parts, lambda l, i: F.when(~F.array_contains("__gone", i), l)), lambda l: l.isNotNull()), "\n")
     joined = own.join(cut, name, "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
