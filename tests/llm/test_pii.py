@@ -78,5 +78,26 @@ def test_copies_are_one_context(spark, tmp_path):
     assert found.n_term.sum() == 0 and found.n_email.sum() == 5
 
 
+def test_terms_far_from_the_entity_go_everywhere(spark):
+    filler = "Report number was written by somebody ordinary about matters rain snow wind heat " * 4
+    rows = [f"{filler}{i}" for i in range(60)]
+    rows += [f"Zaphodius on {x}. {filler} zaph@example.org {filler} So says zaphodius" for x in ("ships", "stars")]
+    rows += ["Zaphodius without an address"]
+    out = {r.doc_id: r.text for r in pii.sanitized(documents(spark, rows)).collect()}
+    for i, x in ((60, "ships"), (61, "stars")):
+        assert out[i].startswith(f"[TERM] on {x}. Report") and out[i].endswith("[TERM]") and "[EMAIL]" in out[i]
+    assert out[62] == rows[62] and out[0] == rows[0]
+
+
+def test_contexts_with_the_same_smallest_place(spark, tmp_path):
+    same = "Copied words before one@example.org and after them, which are long enough to fill what is looked at around it, and more than that. "
+    rows = ["ordinary words without anything in them"] * 50
+    rows += [f"{same}{'x ' * 60}Unusualname wrote {w} from one@example.org {w}" for w in ("today", "monday")]
+    found = pii.op4_pii(spark, written(documents(spark, rows), tmp_path)).toPandas().set_index("doc_id")
+    for i in (50, 51):
+        words = {rows[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in found.loc[i, "spans"].split(",")) if k == "term"}
+        assert "Unusualname" in words
+
+
 def test_empty_table(spark, tmp_path):
     assert pii.op4_pii(spark, written(documents(spark, ["x"]).limit(0), tmp_path)).count() == 0

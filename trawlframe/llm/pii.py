@@ -1,10 +1,11 @@
 """Personal data, and terms that reveal it, by information-theoretic sanitisation (DataFrame functions only).
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Each different value is a protected entity.
-Words that stand near an entity are held against it: with document frequencies over the whole corpus, the pointwise
+The words of the documents that hold an entity are held against it: with document frequencies over the whole corpus, the pointwise
 mutual information of word and entity, as a share of the entity's information content, is what the word discloses. From
-MAX_DISCLOSURE on, and if the two meet in MIN_CONTEXTS different contexts (copies of a text are one context), the word is a span
-too, of kind term, and is generalised with the rest.
+MAX_DISCLOSURE on, and if the two meet in documents of MIN_CONTEXTS different contexts, the word is a span of kind term wherever it
+stands in a document that holds the entity, and is generalised with the rest. The context of a document is the set of its words, so that
+copies of a text are one context.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Rows that share a doc_id are separate rows (and
 separate documents in the frequencies). An entity that every document holds has no information to disclose.
@@ -28,8 +29,8 @@ PATTERNS = {
 }
 #: What a text must contain for the pattern to be worth a try.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){13}", "phone": r"\+[0-9]"}
-#: Characters before and after an entity in which words are near it; shortest word.
-REACH, TERM = 80, r"\p{L}{4,}"
+#: A word that may disclose.
+TERM = r"\p{L}{4,}"
 MIN_CONTEXTS, MAX_DISCLOSURE = 2, 0.5
 
 
@@ -51,81 +52,76 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, uid: str) -> DataFrame:
-    """uid, doc_id, kind (its place in KINDS), start, end, value, and the text before and after as far as REACH and the next match of the kind."""
+    """uid, doc_id, kind (its place in KINDS), start, end and value."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
     for k, name in enumerate(KINDS[:-1]):
         hit = F.instr(text, "@") > 0 if name == "email" else text.rlike(GUARDS[name])
         gaps = F.split(text, PATTERNS[name], -1)
-        # gaps and matches take turns, from gap to gap: only the lengths and the ends of gaps are kept
-        short = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(REACH)).alias("tail"), F.left(g, F.lit(REACH)).alias("head")))
-        found.append(F.when(hit, F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0)).alias("values"), short.alias("gaps"))))
+        # gaps and matches take turns, from gap to gap: only the lengths of gaps are kept
+        found.append(F.when(hit, F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0)).alias("values"), F.transform(gaps, F.length).alias("gaps"))))
     each = docs.select(F.col(uid).alias("uid"), "doc_id", F.explode(F.filter(F.array(*found), lambda s: s.isNotNull())).alias("f"))
-    # each match takes its own two gaps along, so that a text with many matches stays linear
-    entry = F.transform("f.values", lambda v, i: F.struct(i.alias("i"), v.alias("value"), F.get("f.gaps", i).alias("g"), F.get("f.gaps", i + 1)["head"].alias("after")))
+    entry = F.transform("f.values", lambda v, i: F.struct(i.alias("i"), v.alias("value"), F.get("f.gaps", i).alias("n")))
     rows = each.select("uid", "doc_id", F.col("f.kind").alias("kind"), F.explode(entry).alias("m")).select("uid", "doc_id", "kind", "m.*")
     before = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("g.n") + F.coalesce(F.sum(F.col("g.n") + F.length("value")).over(before), F.lit(0))
-    placed = rows.select("uid", "doc_id", "kind", start.cast("long").alias("start"), "value", F.col("g.tail").alias("before"), "after")
+    start = F.col("n") + F.coalesce(F.sum(F.col("n") + F.length("value")).over(before), F.lit(0))
+    placed = rows.select("uid", "doc_id", "kind", start.cast("long").alias("start"), "value")
     return placed.withColumn("end", F.col("start") + F.length("value")).filter(valid(F.col("kind"), F.col("value")))
 
 
-def terms_in(context: Column) -> Column:
-    """(term, from, to) of each word of a context, lower-cased; a context is short."""
-    words = F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    gaps = F.split(context, TERM, -1)
-
-    def add(state: Column, i: Column) -> Column:
-        at = state["at"] + F.length(F.get(gaps, i))
-        to = at + F.length(F.get(words, i))
-        return F.struct(to.alias("at"), F.concat(state["l"], F.array(F.struct(F.lower(F.get(words, i)).alias("term"), at.alias("from"), to.alias("to")))).alias("l"))
-
-    empty = F.array().cast("array<struct<term: string, from: int, to: int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("l"))
-    return F.when(F.size(words) > 0, F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, add)["l"]).otherwise(empty)
-
-
-def near_terms(spans: DataFrame) -> DataFrame:
-    """uid, entity, term, start, end and context (a hash) of the words near base spans; words cut by the reach are left out."""
-    before = F.when(F.length("before") == REACH, F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") == REACH, F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
-    base = spans.select("uid", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "start", "end", before.alias("b"), after.alias("a"))
-    base = base.withColumn("context", F.xxhash64("b", "a"))
-    left = F.transform(terms_in(F.col("b")), lambda t: F.struct(t["term"].alias("term"), (F.col("start") - F.length("b") + t["from"]).alias("s"), (F.col("start") - F.length("b") + t["to"]).alias("e")))
-    right = F.transform(terms_in(F.col("a")), lambda t: F.struct(t["term"].alias("term"), (F.col("end") + t["from"]).alias("s"), (F.col("end") + t["to"]).alias("e")))
-    return base.select("uid", "entity", "context", F.explode(F.concat(left, right)).alias("t")).select("uid", "entity", "context", F.col("t.term").alias("term"), F.col("t.s").alias("start"), F.col("t.e").alias("end"))
+def words_of(text: str = "text") -> Column:
+    """The different words of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df) over all whole documents; words are made distinct inside a document and summed before the shuffle."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return docs.select(F.explode(words_of()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, disclosure) of the terms that disclose an entity beyond the threshold."""
-    per_doc = near.groupBy("entity", "term", "uid").agg(F.min("context").alias("context"))
-    together = per_doc.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.min("context").alias("c0"), F.max("context").alias("c1"))
+def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFrame:
+    """by and the number of rows, as `name`, of the groups with enough different contexts."""
     if min_contexts <= 2:  # the smallest and largest tell whether there are two
-        together = together.filter(F.lit(min_contexts < 2) | (F.col("c0") != F.col("c1"))).drop("c0", "c1")
-    else:
-        several = per_doc.select("entity", "term", "context").distinct().groupBy("entity", "term").count().filter(F.col("count") >= min_contexts)
-        together = together.drop("c0", "c1").join(several.drop("count"), ["entity", "term"], "left_semi")
-    entities = near.select("entity", "uid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("held"))
-    pairs = materialize(together.join(entities, "entity"), "entity-terms")
-    known = pairs.join(document_frequencies(docs), "term")
+        found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name), F.min("context").alias("c0"), F.max("context").alias("c1"))
+        return found.filter(F.lit(min_contexts < 2) | (F.col("c0") != F.col("c1"))).drop("c0", "c1")
+    each = rows.groupBy(*by, "context").count()
+    return each.groupBy(*by).agg(F.sum("count").alias(name), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_contexts).drop("k")
+
+
+def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(uid, term) of the documents (uid, entity) that hold an entity and the terms that disclose it beyond the threshold, each once."""
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_contexts)
+    held = materialize(held.join(entities, "entity"), "recurring-entities")
+    own = docs.select(F.col(uid).alias("uid"), "text").join(held.select("uid").distinct(), "uid", "left_semi")
+    sets = own.select("uid", words_of().alias("words")).withColumn("context", F.xxhash64(F.array_sort("words")))
+    words = materialize(sets.select("uid", "context", F.explode("words").alias("term")), "words-with-entities")
+    pairs = several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts)
+    known = materialize(pairs, "entity-terms").join(document_frequencies(docs), "term")
     n = F.lit(float(n_docs))
     pmi = F.log2(F.col("both") * n / (F.col("held") * F.col("df")))
     known = known.withColumn("disclosure", F.try_divide(pmi, F.log2(n / F.col("held"))))
-    return known.filter(F.col("disclosure") >= max_disclosure).select("entity", "term", "disclosure")
+    hits = materialize(known.filter(F.col("disclosure") >= max_disclosure).select("entity", "term"), "disclosing-terms")
+    return held.select("uid", "entity").join(hits, "entity").select("uid", "term").distinct()
+
+
+def places(docs: DataFrame, uid: str, terms: DataFrame) -> DataFrame:
+    """uid, start and end of every occurrence of a document's terms (uid, term) in it."""
+    own = docs.select(F.col(uid).alias("uid"), "text").join(terms.select("uid").distinct(), "uid", "left_semi")
+    gaps = F.transform(F.split("text", TERM, -1), F.length)
+    split = own.select("uid", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("words"), gaps.alias("gaps"))
+    entry = F.transform("words", lambda w, i: F.struct(i.alias("i"), F.get("gaps", i).alias("n"), F.length(w).alias("long"), F.lower(w).alias("term")))
+    rows = split.select("uid", F.explode(entry).alias("m")).select("uid", "m.*")
+    end = F.sum(F.col("n") + F.col("long")).over(Window.partitionBy("uid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("uid", "term", (end - F.col("long")).alias("start"), end.alias("end"))
+    return placed.join(terms, ["uid", "term"], "left_semi").select("uid", "start", "end")
 
 
 def find(docs: DataFrame, uid: str) -> DataFrame:
     """All spans: uid, kind, start, end, each once; a term that overlaps a base span is none."""
     base = materialize(base_spans(docs, uid), "base-spans")
-    near = materialize(near_terms(base), "near-terms")
-    hits = materialize(disclosing(docs, near, docs.count()), "disclosing-terms")
-    term = near.join(hits, ["entity", "term"], "left_semi").select("uid", F.lit(4).alias("kind"), "start", "end").distinct()
+    held = materialize(base.select("uid", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "entities")
+    terms = materialize(disclosing(docs, uid, held, docs.count()), "document-terms")
+    term = places(docs, uid, terms).select("uid", F.lit(4).alias("kind"), "start", "end")
     return base.select("uid", "kind", "start", "end").union(term)
 
 
