@@ -92,7 +92,8 @@ def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disc
     """(uid, term) of the documents (uid, entity) that hold an entity and the terms that disclose it beyond the threshold, each once."""
     entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_contexts)
     held = materialize(held.join(entities, "entity"), "recurring-entities")
-    own = docs.select(F.col(uid).alias("uid"), "text").join(held.select("uid").distinct(), "uid", "left_semi")
+    those = materialize(held.select("uid").distinct(), "documents-with-entities")  # small, so that no text is shuffled
+    own = docs.select(F.col(uid).alias("uid"), "text").join(those, "uid", "left_semi")
     sets = own.select("uid", words_of().alias("words")).withColumn("context", F.xxhash64(F.array_sort("words")))
     words = materialize(sets.select("uid", "context", F.explode("words").alias("term")), "words-with-entities")
     pairs = several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts)
@@ -106,7 +107,8 @@ def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disc
 
 def places(docs: DataFrame, uid: str, terms: DataFrame) -> DataFrame:
     """uid, start and end of every occurrence of a document's terms (uid, term) in it."""
-    own = docs.select(F.col(uid).alias("uid"), "text").join(terms.select("uid").distinct(), "uid", "left_semi")
+    those = materialize(terms.select("uid").distinct(), "documents-with-terms")
+    own = docs.select(F.col(uid).alias("uid"), "text").join(those, "uid", "left_semi")
     gaps = F.transform(F.split("text", TERM, -1), F.length)
     split = own.select("uid", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("words"), gaps.alias("gaps"))
     entry = F.transform("words", lambda w, i: F.struct(i.alias("i"), F.get("gaps", i).alias("n"), F.length(w).alias("long"), F.lower(w).alias("term")))
