@@ -10,6 +10,15 @@ from .helpers import documents, duck, same, written
 ALPHABET = "abcdefgh ijklmnop"
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def variants(seed: int, n: int) -> list[str]:
     """Lines around a few roots: changed, added and missing characters, runs, and lines just beyond the threshold."""
     rng = random.Random(seed)
@@ -31,14 +40,40 @@ def variants(seed: int, n: int) -> list[str]:
     return out
 
 
-def test_matches_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_matches_brute_force(spark, tmp_path, threshold):
     lines = variants(3, 220)
     rng = random.Random(4)
-    docs = ["\n".join(rng.choice(lines) if rng.random() < 0.8 else "short" for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    docs = ["\n".join(rng.choice(lines) if rng.random() < 0.8 else rng.choice(["short", "", " \t"]) for _ in range(rng.randint(1, 5))) for _ in range(120)]
     folder = written(documents(spark, docs), tmp_path)
-    found = line_dedup.op8_line_dedup(spark, folder).toPandas()
+    found = line_dedup.decide(spark.read.parquet(f"{folder}/documents.parquet"), threshold).toPandas()
     assert found["n_links"].sum() > 0
-    same(found, duck(line_dedup.ORACLE, folder))
+    same(found, duck(line_dedup.oracle(threshold), folder))
+
+
+def test_crowded_segments_match_brute_force(spark, monkeypatch):
+    """Groups of two are split again, down to the last level."""
+    monkeypatch.setattr(line_dedup, "LEVELS", 4)
+    lines = sorted(set(variants(5, 150)))
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    found = {(r.a, r.b) for r in line_dedup.pairs(frame, 2, hot=2).collect()}
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2}
+    assert near and near <= found
+
+
+def test_two_lines_of_a_million_characters(spark):
+    line = "".join(random.Random(6).choices("abcdefgh ", k=1_000_000))
+    texts = [line, line[:400_000] + "X" + line[400_001:700_000] + line[700_001:], line[:300_000] + "YYY" + line[300_000:], line[::-1]]
+    found = line_dedup.decide(documents(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert found["n_links"].tolist() == [1, 1, 0, 0] and found["dropped"].tolist() == ["", "0:0:0", "", ""]
+
+
+def test_repeated_doc_ids_match_sql(spark, tmp_path):
+    line = "a line of more than forty characters that several rows of one id hold"
+    rows = [(1, line), (1, line), (1, line + "!"), (2, line + "\n" + line), (2, "x"), (2, "x"), (3, None)]
+    docs = documents(spark, rows).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same(line_dedup.op8_line_dedup(spark, str(tmp_path)).toPandas(), duck(line_dedup.ORACLE, tmp_path))
 
 
 def test_many_variants_of_one_character(spark, tmp_path):
@@ -66,27 +101,20 @@ def test_short_lines_take_part_when_equal(spark, tmp_path):
     kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
     assert kept[0] == rows[0][1] and kept[60] == "Read more!" and set(kept) == set(range(61))
     assert all(kept[i] == f"\nwords of document {i} alone\n{i}\n " for i in range(1, 60))
-    assert line_dedup.op8_line_dedup(spark, written(docs, tmp_path)).filter("n_dropped > 0").count() == 0  # as its SQL has it
+    found = {r.doc_id: (r.n_dropped, r.dropped) for r in line_dedup.op8_line_dedup(spark, written(docs, tmp_path)).collect()}
+    assert found[0] == found[60] == (0, "") and found[5] == (1, "0:0:0") and found[61] == (1, "0:0:0") and found[62] == (1, "0:59:3")
 
 
 @pytest.mark.parametrize("budget", [1, 2, 3])
 def test_edit_distance(spark, budget):
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
     rng = random.Random(budget)
-    pairs = []
+    pairs = [("", ""), ("", "a" * budget), ("a" * (budget + 1), ""), ("😀" * 9, "😀" * 8 + "é")]
     for _ in range(300):
-        a = "".join(rng.choice("abé") for _ in range(rng.randint(1, 9)))
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 14)))
         b = list(a)
         for _ in range(rng.randint(0, 4)):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
-        pairs.append((a, "".join(b) or "a"))
+        pairs.append((a, "".join(b)))
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within(F.col("a"), F.col("b"), budget).alias("near")).collect()
     assert all(r.near == (distance(r.a, r.b) <= budget) for r in got)

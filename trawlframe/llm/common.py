@@ -36,9 +36,10 @@ def sampled(df: DataFrame, by: str, bound: int | dict, seed: str) -> DataFrame:
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with the column `name`: a row identity that stays the same however often docs is read.
 
-    Rows of files are known by file and position; anything else is written once and then has files.
+    Rows of files are known by two numbers, 64 bits of their file's path and their place in it; anything else is written
+    once and then has files.
     """
-    identity = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    identity = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         return docs.withColumn(name, identity)
     except AnalysisException:

@@ -1,17 +1,17 @@
 """Line de-duplication by a segment-partition edit join (DataFrame functions only).
 
-Two lines are alike if they are equal or one edit apart (THRESHOLD). Such a line pair agrees on one of THRESHOLD + 1
-segments, aligned with the start or the end of the shorter line, so each line posts its two segments in an index and
-probes it with those of a line one character shorter. Lines that meet are split further, into all but one
-of BLOCKS blocks, and at last at every character of a block that may hold the edit: lines that agree on everything but one
-character form a clique, and a line with one character taken out names its shorter partners. Each step is a
-grouping by key, so a group of thousands of variants costs what its lines cost, never their pairs; a clique is kept
-as a star and counted as what it is. Every link that joins classes is verified by a banded bit-parallel edit distance.
-
-In op8, as its SQL has it, only lines of MIN_CHARS characters or more take part; shorter ones stay as they are. In the pipeline's
-stage (deduplicated) shorter lines with a word take part too, but only equal ones are alike: an edit is much of a short line. Of a class the occurrence with the
-smallest doc_id stays (then the first row, then the first line), all others go. Lines end at \\n; null text has one
-empty line. Equal lines are known by their SHA-256. A null doc_id sorts after all others.
+Two lines are alike if they are equal, or at most `threshold` edits (code points changed, added or missing) apart. Lines are put in
+classes of about the same length. Each line is indexed by threshold + 1 segments of its class, the first ones measured
+from its start, the others from its end, and probes the index of its class, and of the class below if a line that short may be alike, with
+the substrings that an alike line's segments can have moved to: if at most `threshold` edits part two lines, one segment is free of them and has no more
+edits on either side than there are other segments. Lines that share a segment are split again by segments of what is left of them;
+groups of up to HOT lines that agree on two segments or more list their pairs, larger ones go on for up to LEVELS levels. Every listed
+pair is verified by a banded bit-parallel edit distance, and what was verified is counted as links and joined to classes.
+
+Every line with a word takes part; lines of fewer than MIN_CHARS characters only as equal ones, as an edit is much of a short line. Of a
+class the occurrence with the smallest doc_id stays (then the first row, then the first line), all others go. Lines end at \\n; null
+text has one empty line. Equal lines are known by their SHA-256 and enter the join once. Rows that share a doc_id are
+separate rows. A null doc_id sorts after all others. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -21,125 +21,180 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..session import table
 from .common import WORD, materialize, numbered
 from .components import connected_components
 
-THRESHOLD, BLOCKS, MIN_CHARS = 1, 16, 40
+THRESHOLD, MIN_CHARS = 2, 40
+#: Pairs are listed in groups of up to HOT lines; larger groups are split, LEVELS times in all (a group of the last level is listed whatever its size).
+HOT, LEVELS = 32, 6
 
 
-def lines_of(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
-    """uid, doc_id, pos and line of every line that takes part; with `short`, also of shorter ones that have a word."""
+def lines_of(docs: DataFrame, uid: str) -> DataFrame:
+    """uid, doc_id, pos and line of every line that has a word."""
     split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")
-    long = F.char_length("line") >= MIN_CHARS
-    return docs.select(F.col(uid).alias("uid"), "doc_id", split).filter(long | F.col("line").rlike(WORD) if short else long)
+    return docs.select(F.col(uid).alias("uid"), "doc_id", split).filter(F.col("line").rlike(WORD))
 
 
 def sha(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def segments(line: Column, n: Column) -> Column:
-    """Keys of (length, segment, content): the line's own halves (index), and those of a line one shorter (probe).
+def class_of(n: Column, threshold: int) -> Column:
+    """The smallest length of n's class: all but its four highest binary digits are zero, and at least so many of the lowest that a class is wider than the threshold."""
+    low = F.greatest(F.length(F.bin(n)) - 4, F.lit(threshold.bit_length()))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, low), low)
 
-    A first half is aligned with the start, a second one with the end; the sign bit marks an index entry.
-    """
-    key = lambda length, i, part: F.shiftleft(F.xxhash64(length, F.lit(i), part), 1)
-    out = []
-    for length, own in ((n, 1), (n - 1, 0)):
-        half = F.floor(length / 2).cast("int")
-        out.append(key(length, 0, F.substring(line, F.lit(1), half)).bitwiseOR(F.lit(own)))
-        out.append(key(length, 1, F.right(line, length - half)).bitwiseOR(F.lit(own)))
-    return F.array(*out)
+
+def sized(rows: DataFrame, text: str, threshold: int) -> DataFrame:
+    """Adds __n, the length of the text, __c, its class, and __b, the class of the shortest alike line: the same or the next one below."""
+    n = rows.withColumn("__n", F.char_length(text))
+    return n.withColumn("__c", class_of(F.col("__n"), threshold)).withColumn("__b", class_of(F.greatest(F.col("__n") - threshold, F.lit(0)), threshold))
+
+
+def segments(text: str, threshold: int, make) -> list[Column]:
+    """make(own, class, segment, at, width) for each segment of a `sized` row that is indexed (own = 1) or probed (0), null where there is none."""
+    n, out = F.col("__n"), []
+    for cls, own in (("__c", True), ("__b", False)):
+        width = F.floor(F.col(cls) / (threshold + 1)).cast("int")
+        for i in range(threshold + 1):
+            reach = min(i, threshold - i)
+            for shift in range(-reach, reach + 1):
+                at = F.lit(i) * width + shift if i <= threshold - i else n - (threshold + 1 - i) * width + shift
+                fits = (at >= 0) & (at + width <= n) if shift else F.lit(True)
+                there = fits if own else fits & (F.col("__b") < F.col("__c"))
+                out.append(F.when(there, make(int(own and not shift), F.col(cls), i, at, width)))
+    return out
 
 
 def meeting(keys: DataFrame) -> DataFrame:
-    """Those keys (key, id, own) under which different ids meet, at least one of them as an index entry."""
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("own").alias("own"))
-    return shared.filter("a <> b and own = 1").select("key")
+    """key and n, the entries, of the keys (key, id, own) under which different ids meet, at least one of them as an index entry."""
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
+    return shared.filter("a <> b and own = 1").select("key", "n")
 
 
-def occurrences(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
-    """One row per line occurrence, without its text: uid, doc_id, pos, sha, id (64 bits of it) and segment keys (none of lines too short for edits)."""
-    keys = F.when(F.char_length("line") >= MIN_CHARS, segments(F.col("line"), F.char_length("line"))).otherwise(F.array().cast("array<bigint>"))
-    rows = lines_of(docs, uid, short).select("uid", "doc_id", "pos", sha(F.col("line")).alias("sha"), keys.alias("keys"))
-    return rows.withColumn("id", F.xxhash64("sha"))
+def occurrences(docs: DataFrame, uid: str, threshold: int) -> DataFrame:
+    """One row per line occurrence, without its text: uid, doc_id, pos, sha, id (64 bits of it) and segment keys (the last bit marks an index entry)."""
+
+    def key(own: int, cls: Column, i: int, at: Column, width: Column) -> Column:
+        return F.shiftleft(F.xxhash64(cls, F.lit(i), F.substring(F.col("line"), at + 1, width)), 1).bitwiseOR(F.lit(own))
+
+    rows = sized(lines_of(docs, uid), "line", threshold)
+    keys = F.when(F.col("__n") >= MIN_CHARS, F.array(*segments("line", threshold, key)))
+    found = rows.select("uid", "doc_id", "pos", sha(F.col("line")).alias("sha"), keys.alias("keys"))
+    return found.withColumn("id", F.xxhash64("sha"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Ids of the lines that share a segment with another line."""
-    keys = rows.select("id", F.explode("keys").alias("k")).select("id", F.shiftrightunsigned("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
+    keys = rows.filter("keys is not null").select("id", F.explode("keys").alias("k")).filter("k is not null")
+    keys = keys.select("id", F.shiftrightunsigned("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     shared = materialize(meeting(keys), "shared-segments")
-    return keys.join(shared, "key", "left_semi").select("id").distinct()
+    return keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
 
 
-def finer(lines: DataFrame) -> DataFrame:
-    """(sha, line, n, length, block) where another line agrees on everything outside the block.
+def parted(rows: DataFrame, threshold: int) -> DataFrame:
+    """(key, id, own, n, rest) of rows (key, id, rest) under each segment that another row of the same key shares; rest is without the segment."""
 
-    Block j of a line, for partners of `length` characters, starts at j * length / BLOCKS; what follows it is measured from the end.
-    """
-    roles = F.explode(F.array(*[F.struct((F.char_length("line") - d).alias("length"), F.lit(1 - d).alias("own")) for d in range(THRESHOLD + 1)])).alias("r")
-    base = lines.select("sha", "line", roles).select("sha", "line", "r.*")
-    cut = lambda j: F.floor(F.lit(j) * F.col("length") / BLOCKS).cast("int")
-    entries = F.array(*[F.struct(F.lit(j).alias("block"), F.xxhash64("length", F.lit(j), F.substring(F.col("line"), F.lit(1), cut(j)), F.right(F.col("line"), F.col("length") - cut(j + 1))).alias("key")) for j in range(BLOCKS)])
-    keyed = base.select("sha", "length", "own", F.explode(entries).alias("e")).select("sha", "length", "own", "e.*")
-    keyed = materialize(keyed, "block-keys")
-    shared = materialize(meeting(keyed.withColumn("id", F.xxhash64("sha"))), "shared-blocks")
-    return keyed.join(shared, "key", "left_semi").select("sha", "length", "own", "block").distinct().join(lines, "sha")
-
-
-def links(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) among SHA-256s that connect all lines one edit apart, and n_links of each line that has any."""
-    places = materialize(finer(lines), "edit-places")
-    start, end = (F.floor((F.col("block") + d) * F.col("length") / BLOCKS).cast("int") for d in (0, 1))
-    # an edit in the block: a changed character is inside it, a missing one may also stand right before what follows
-    at = F.explode(F.sequence(start, F.when(F.col("own") == 1, end - 1).otherwise(end))).alias("at")
-    spots = places.filter((start < end) | (F.col("own") == 0)).select("sha", "line", "own", "length", at)
-    without = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at")), F.expr("substring(line, at + 2)"))
-    changed = spots.filter("own = 1").select("sha", sha(F.concat_ws("\n", F.col("length").cast("string"), F.col("at").cast("string"), without)).alias("key")).distinct()
-    cliques = materialize(changed.groupBy("key").agg(F.min("sha").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "cliques")
-    star = materialize(changed, "changed").join(cliques, "key")
-    missing = spots.filter("own = 0").select(F.col("sha").alias("b"), sha(without).alias("a")).distinct()
-    shorter = materialize(missing.join(lines.select(F.col("sha").alias("a")), "a", "left_semi"), "one-shorter")
-    edges = star.filter("a <> sha").select("a", F.col("sha").alias("b")).union(shorter.select("a", "b")).distinct()
-    counts = star.select("sha", (F.col("n") - 1).alias("k")).union(shorter.select("a", F.lit(1).cast("long"))).union(shorter.select("b", F.lit(1).cast("long")))
-    return materialize(edges, "line-edges"), materialize(counts.groupBy("sha").agg(F.sum("k").alias("n_links")), "line-link-counts")
-
-
-def within(a: Column, b: Column, budget: int = THRESHOLD) -> Column:
-    """Whether two non-empty strings are at most `budget` edits apart: a bit-parallel automaton on a diagonal band.
+    def entry(own: int, cls: Column, i: int, at: Column, width: Column) -> Column:
+        return F.struct(F.lit(own).alias("own"), F.xxhash64("key", cls, F.lit(i), F.substring(F.col("rest"), at + 1, width)).alias("key"), at.alias("at"), width.alias("width"))
+
+    each = sized(rows, "rest", threshold).select("id", "rest", F.explode(F.array(*segments("rest", threshold, entry))).alias("e")).filter("e is not null")
+    shared = materialize(meeting(each.select("e.key", "id", "e.own")), "line-segments")
+    rest = F.concat(F.substring("rest", F.lit(1), F.col("e.at")), F.substring(F.col("rest"), F.col("e.at") + F.col("e.width") + 1, F.length("rest")))
+    return each.join(shared, F.col("e.key") == F.col("key")).select("key", "id", "e.own", "n", rest.alias("rest"))
+
+
+def pairs(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: every pair of different lines (id, line) that may be alike, listed segment by segment."""
+    rows, listed = lines.select(F.lit(0).cast("long").alias("key"), "id", F.col("line").alias("rest")), []
+    for level in range(1, LEVELS + 1):
+        found = materialize(parted(rows, threshold), "line-groups")
+        small = F.lit(level > 1) & (F.lit(level == LEVELS) | (F.col("n") <= hot))
+        members = found.filter(small).select("key", "id", "own")
+        other = members.select("key", F.col("id").alias("b"), F.col("own").alias("of"))
+        if level > 1:
+            listed.append(members.withColumnRenamed("id", "a").join(other, "key").filter("a < b and (own = 1 or of = 1)").select("a", "b"))
+        rows = found.filter(~small).select("key", "id", "rest").distinct()
+        if level > 1 and rows.isEmpty():
+            break
+    return reduce(DataFrame.union, listed).distinct()
+
+
+def shared_length(x: Column, y: Column, part) -> Column:
+    """The largest k at which part(x, k) equals part(y, k), where parts that agree agree for every smaller k."""
+    powers = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    return let(F.least(F.length(x), F.length(y)), lambda most: F.aggregate(powers, F.lit(0), lambda k, step: F.when((k + step <= most) & (part(x, k + step) == part(y, k + step)), k + step).otherwise(k)))
+
+
+def within(a: Column, b: Column, budget: int) -> Column:
+    """Whether two strings are at most `budget` edits apart: a bit-parallel automaton on a diagonal band, run between what they share at both ends.
 
     After j characters of b, bit i of word e says that j - budget + i characters of a can be reached with e edits. A match
     and a changed character keep the bit, an added character moves it down, a missing one moves it up.
     """
-    x, y = F.split(a, ""), F.split(b, "")
     mask = (1 << (2 * budget + 1)) - 1
 
-    def step(words: Column, j: Column) -> Column:
-        c = F.get(y, j - 1)
-        equal = reduce(Column.bitwiseOR, [F.when(F.get(x, j - budget + i - 1) == c, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(2 * budget + 1)])
-        new = [words[0].bitwiseAND(equal)]
-        for e in range(1, budget + 1):
-            before = words[e - 1]
-            moved = before.bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(F.lit(mask)))
-            new.append(words[e].bitwiseAND(equal).bitwiseOR(moved))
-        return F.array(*new)
+    def automaton(x: Column, y: Column) -> Column:
+        def step(words: Column, j: Column) -> Column:
+            c = F.get(y, j - 1)
+            equal = reduce(Column.bitwiseOR, [F.when(F.get(x, j - budget + i - 1) == c, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(2 * budget + 1)])
 
-    start = F.array(*[F.lit(((1 << (e + 1)) - 1) << budget) for e in range(budget + 1)])
-    end = F.aggregate(F.sequence(F.lit(1), F.size(y)), start, step)
-    bits = F.array(*[F.lit(1 << i) for i in range(2 * budget + 1)])
-    place = F.size(x) - F.size(y) + budget
-    return F.when(place.between(0, 2 * budget), F.exists(end, lambda w: w.bitwiseAND(F.get(bits, place)) != 0)).otherwise(F.lit(False))
+            def moved(equal: Column) -> Column:
+                new = [words[0].bitwiseAND(equal)]
+                for e in range(1, budget + 1):
+                    before = words[e - 1]
+                    free = before.bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(F.lit(mask)))
+                    new.append(words[e].bitwiseAND(equal).bitwiseOR(free))
+                return F.array(*new)
 
+            return let(equal, moved)
 
-def line_classes(rows: DataFrame, docs: DataFrame, uid: str) -> DataFrame:
+        start = F.array(*[F.lit(((1 << (e + 1)) - 1) << budget) for e in range(budget + 1)])
+        end = F.aggregate(F.sequence(F.lit(1), F.size(y)), start, step)
+        bits = F.array(*[F.lit(1 << i) for i in range(2 * budget + 1)])
+        place = F.size(x) - F.size(y) + budget
+        return F.exists(end, lambda w: w.bitwiseAND(F.get(bits, place)) != 0)
+
+    def middle(x: Column, y: Column) -> Column:
+        m, n = F.length(x), F.length(y)
+        run = let(F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y")), lambda s: automaton(s["x"], s["y"]))
+        return F.when(F.greatest(m, n) <= budget, F.lit(True)).when(F.abs(m - n) > budget, F.lit(False)).otherwise(run)
+
+    def without(s: Column, k: Column, cut) -> Column:
+        return F.struct(cut(s["x"], k).alias("x"), cut(s["y"], k).alias("y"))
+
+    def tail(s: Column, k: Column) -> Column:
+        return F.substring(s, k + 1, F.length(s))
+
+    def head(s: Column, k: Column) -> Column:
+        return F.substring(s, F.lit(1), F.length(s) - k)
+
+    def ends(s: Column) -> Column:
+        return let(without(s, shared_length(s["x"], s["y"], lambda t, k: F.substring(t, F.length(t) - k + 1, k)), head), lambda t: middle(t["x"], t["y"]))
+
+    both = F.struct(a.alias("x"), b.alias("y"))
+    return let(both, lambda s: let(without(s, shared_length(s["x"], s["y"], lambda t, k: F.substring(t, F.lit(1), k)), tail), ends))
+
+
+def links(lines: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): SHA-256s of every two different lines (sha, line) that are alike, each verified, in one direction."""
+    numbered_lines = materialize(lines.select("sha", "line", F.xxhash64("sha").alias("id")), "candidate-texts")
+    of = lambda id_, sha_, line: numbered_lines.select(F.col("id").alias(id_), F.col("sha").alias(sha_), F.col("line").alias(line))
+    near = materialize(pairs(numbered_lines.select("id", "line"), threshold), "line-pairs")
+    both = near.join(of("a", "sha_a", "x"), "a").join(of("b", "sha_b", "y"), "b")
+    return both.filter(within(F.col("x"), F.col("y"), threshold)).select(F.col("sha_a").alias("a"), F.col("sha_b").alias("b"))
+
+
+def line_classes(rows: DataFrame, docs: DataFrame, uid: str, threshold: int) -> DataFrame:
     """sha, first_doc, first_uid, first_pos and n_links of every line whose class occurs more than once."""
     wanted = materialize(candidates(rows), "candidate-lines")
-    texts = lines_of(docs, uid).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
-    lines = materialize(texts.join(wanted, "id", "left_semi").groupBy("sha").agg(F.any_value("line").alias("line")), "candidate-texts")
-    edges, counts = links(lines)
-    ends = edges.join(lines.select(F.col("sha").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("sha").alias("b"), F.col("line").alias("y")), "b")
-    roots = connected_components(ends.filter(within(F.col("x"), F.col("y"))).select("a", "b")).withColumnRenamed("node", "sha")
+    texts = lines_of(docs, uid).filter(F.char_length("line") >= MIN_CHARS).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
+    lines = texts.join(wanted, "id", "left_semi").groupBy("sha").agg(F.any_value("line").alias("line"))
+    edges = materialize(links(lines, threshold), "line-links")
+    counts = edges.select(F.col("a").alias("sha")).union(edges.select("b")).groupBy("sha").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = connected_components(edges).withColumnRenamed("node", "sha")
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"), F.col("pos").alias("pos"))
     each = rows.groupBy("sha").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     named = each.join(roots, "sha", "left").filter("n > 1 or root is not null")
@@ -149,23 +204,22 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str) -> DataFrame:
     return materialize(found, "first-lines")
 
 
-def repeated(docs: DataFrame, uid: str, short: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, uid: str, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document that holds lines of such classes: uid, n_links, and dropped (pos, first_doc, first_pos) in order of pos."""
-    rows = materialize(occurrences(docs, uid, short), "line-occurrences")
-    firsts = line_classes(rows, docs, uid)
+    rows = materialize(occurrences(docs, uid, threshold), "line-occurrences")
+    firsts = line_classes(rows, docs, uid, threshold)
     goes = (F.col("uid") != F.col("first_uid")) | (F.col("pos") != F.col("first_pos"))
     found = rows.select("uid", "pos", "sha").join(firsts, "sha")
     entry = F.when(goes, F.struct("pos", "first_doc", "first_pos"))  # collect_list leaves nulls out
     return found.groupBy("uid").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(entry)).alias("dropped"))  # as many as the text has lines
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs without repeated lines, with their own columns; a document that loses lines and has no word left goes. n_chars, if there, follows the text."""
     name = "__row_of_line_dedup"
     own = numbered(docs, name)
-    cut = materialize(repeated(own, name, short=True).filter(F.size("dropped") > 0).select(F.col("uid").alias(name), F.col("dropped.pos").alias("__gone")), "dropped-lines")
-    parts = F.split(F.col("text"), "\n", -1)
-    rest = F.array_join(F.filter(F.transform(parts, lambda l, i: F.when(~F.array_contains("__gone", i), l)), lambda l: l.isNotNull()), "\n")
+    cut = materialize(repeated(own, name, threshold).filter(F.size("dropped") > 0).select(F.col("uid").alias(name), F.col("dropped.pos").alias("__gone")), "dropped-lines")
+    rest = let(F.split(F.col("text"), "\n", -1), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n"))
     joined = own.join(cut, name, "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
     joined = joined.filter(F.col("__gone").isNull() | F.col("__rest").rlike(WORD)).withColumn("text", F.coalesce("__rest", "text"))
     if "n_chars" in docs.columns:
@@ -173,36 +227,51 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.select(*docs.columns)
 
 
-def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "__row")
-    found = materialize(repeated(docs, "__row"), "line-decisions").withColumnRenamed("uid", "__row")
-    own = docs.select("__row", "doc_id", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).cast("long").alias("n_lines"))
+def decide(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, n_links (links of its lines to different lines) and dropped (pos:first doc_id:first pos, by commas)."""
+    name = "__row_of_lines"
+    own = numbered(docs.select("doc_id", "text"), name)
+    found = materialize(repeated(own, name, threshold), "line-decisions").withColumnRenamed("uid", name)
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     told = F.array_join(F.transform("dropped", lambda d: F.concat_ws(":", d["pos"], F.coalesce(d["first_doc"].cast("string"), F.lit("")), d["first_pos"])), ",")
-    return own.join(found, "__row", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped").cast("long"), F.lit(0).cast("long")).alias("n_dropped"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(told, F.lit("")).alias("dropped"))
+    joined = own.select(name, "doc_id", n_lines.cast("long").alias("n_lines")).join(found, name, "left")
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size("dropped").cast("long"), F.lit(0).cast("long")).alias("n_dropped"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(told, F.lit("")).alias("dropped"))
 
 
-ORACLE = f"""
-WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-lines AS (
-  SELECT doc_id, unnest(range(0, len(parts))) AS pos, unnest(parts) AS line FROM split),
-part AS (SELECT * FROM lines WHERE length(line) >= {MIN_CHARS}),
+def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
+    return decide(table(spark, sf_dir, "documents"))
+
+
+def oracle(threshold: int = THRESHOLD) -> str:
+    """DuckDB's levenshtein counts bytes, so a pair's characters beyond ASCII (up to 26 different ones) become control characters first."""
+    width = f"(x.n // {threshold + 1})"
+    parts = [f"contains(y.line, substring(x.line, {i} * {width} + 1, {width}))" for i in range(threshold + 1)]
+    letters = "array_to_string(list_distinct(regexp_extract_all(x.line || y.line, '[^\\x00-\\x7F]')), '')"
+    plain = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)])
+    return f"""
+WITH RECURSIVE split AS (SELECT doc_id, row_number() OVER () AS rn, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, rn, unnest(range(0, len(parts))) AS pos, unnest(parts) AS line FROM split),
+part AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 d AS (SELECT line, length(line) AS n FROM part GROUP BY line),
-e AS (SELECT x.line AS a, y.line AS b FROM d x JOIN d y ON x.n - y.n BETWEEN -{THRESHOLD} AND {THRESHOLD} AND x.line <> y.line
-      WHERE (left(x.line, CAST(floor(least(x.n, y.n) / 2) AS INT)) = left(y.line, CAST(floor(least(x.n, y.n) / 2) AS INT))
-             OR right(x.line, CAST(ceil(least(x.n, y.n) / 2) AS INT)) = right(y.line, CAST(ceil(least(x.n, y.n) / 2) AS INT)))
-        AND levenshtein(x.line, y.line) <= {THRESHOLD}),
-reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+e AS (SELECT x.line AS a, y.line AS b, {letters} AS f, {plain} AS t FROM d x, range(-{threshold}, {threshold} + 1) g(dn), d y
+      WHERE y.n = x.n + dn AND x.line <> y.line AND x.n >= {MIN_CHARS} AND y.n >= {MIN_CHARS} AND ({' OR '.join(parts)})),
+near AS (SELECT a, b FROM e WHERE levenshtein(translate(a, f, t), translate(b, f, t)) <= {threshold}),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, near.b FROM reach r JOIN near ON r.b = near.a),
 class AS (SELECT d.line, least(d.line, coalesce(min(r.b), d.line)) AS root FROM d LEFT JOIN reach r ON r.a = d.line GROUP BY d.line),
-degree AS (SELECT a AS line, count(*) AS k FROM e GROUP BY a),
+degree AS (SELECT a AS line, count(*) AS k FROM near GROUP BY a),
 held AS (SELECT p.*, root, coalesce(k, 0) AS k FROM part p JOIN class USING (line) LEFT JOIN degree USING (line)),
 named AS (
   SELECT *, count(*) OVER (PARTITION BY root) AS total,
-         first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
-  FROM held WINDOW w AS (PARTITION BY root ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+         first_value(doc_id) OVER w AS first_doc, first_value(rn) OVER w AS first_rn, first_value(pos) OVER w AS first_pos
+  FROM held WINDOW w AS (PARTITION BY root ORDER BY doc_id NULLS LAST, rn, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 told AS (
-  SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_links, count(*) FILTER (doc_id <> first_doc OR pos <> first_pos) AS n_dropped,
-         string_agg(pos || ':' || first_doc || ':' || first_pos, ',' ORDER BY pos) FILTER (doc_id <> first_doc OR pos <> first_pos) AS dropped
-  FROM named WHERE total > 1 GROUP BY doc_id)
+  SELECT rn, CAST(sum(k) AS BIGINT) AS n_links, count(*) FILTER (rn <> first_rn OR pos <> first_pos) AS n_dropped,
+         string_agg(pos || ':' || coalesce(CAST(first_doc AS VARCHAR), '') || ':' || first_pos, ',' ORDER BY pos) FILTER (rn <> first_rn OR pos <> first_pos) AS dropped
+  FROM named WHERE total > 1 GROUP BY rn)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_links, 0) AS n_links, coalesce(dropped, '') AS dropped
-FROM split LEFT JOIN told USING (doc_id)
+FROM split LEFT JOIN told USING (rn)
 """
+
+
+ORACLE = oracle()
