@@ -1,5 +1,9 @@
+import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -17,12 +21,41 @@ def speech(rng, letters, n):
 
 
 def test_codewords_are_apart():
-    for n in (1, 2, 3, 4, 5, 12, 60):
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 12, 60):
         code = language_id.codewords(n)
         assert code.shape[0] == n and set(np.unique(code)) <= {-1.0, 1.0}
         if n > 1:
             apart = (code.shape[1] - code @ code.T) / 2 + np.eye(n) * code.shape[1]
             assert apart.min() >= 1 and (n < 6 or apart.min() >= code.shape[1] / 5)
+            bits = {tuple(bit * bit[0]) for bit in code.T}
+            assert len(bits) == code.shape[1] and (1.0,) * n not in bits  # none alike, complementary or constant
+
+
+def test_decoding_matches_the_definition():
+    """Mean log-ratios, losses weighted by accuracy, nearest codeword: once more, one number at a time."""
+    rng = random.Random(2)
+    counts = np.zeros((4, 1 << language_id.BUCKET_BITS))
+    for i in range(4):
+        for g in language_id.ngrams(speech(rng, LANGS[["aa", "bb", "ff", "ee"][i]], 300)).tolist():
+            counts[i, g] += 1
+    model = language_id.Model(["aa", "bb", "ff", "ee"], counts)
+    accuracy = np.array([[0.5 + 0.5 * rng.random() for _ in range(model.code.shape[1])] for _ in range(4)])
+    model.weigh(accuracy)
+    share = [(c + 0.5) / (c + 0.5).sum() for c in counts]
+    for letters in LANGS.values():
+        text = speech(rng, letters, 12)
+        grams = language_id.ngrams(text).tolist()
+        margins = []
+        for bit in model.code.T.tolist():
+            yes, no = ([share[i] for i in range(4) if bit[i] == side] for side in (1, -1))
+            evidence = sum(math.log(sum(s[g] for s in yes) / len(yes)) - math.log(sum(s[g] for s in no) / len(no)) for g in grams)
+            margins.append(evidence / len(grams) * min(len(grams), language_id.EVIDENCE))
+        loss = [sum(a / sum(accuracy[i]) * math.log1p(math.exp(-c * m)) for a, c, m in zip(accuracy[i], model.code[i], margins)) for i in range(4)]
+        best = loss.index(min(loss))
+        near = [math.exp(-(x - loss[best]) * len(margins)) for x in loss]
+        lang, score, ambiguous = model.decode(model.margins(text))
+        assert lang == model.languages[best] and abs(score - near[best] / sum(near)) < 1e-3
+        assert ambiguous == (sorted(loss)[1] - loss[best] < language_id.AMBIGUOUS)
 
 
 def test_language_id(spark, tmp_path):
@@ -41,10 +74,12 @@ def test_language_id(spark, tmp_path):
 
 
 def test_language_id_without_anything_to_learn(spark):
-    docs = documents(spark, ["words", None]).withColumn("score", F.lit(1))
+    docs = documents(spark, ["words", None]).withColumn("Score", F.lit(1))
     assert language_id.fit(docs) is None
     found = language_id.identify(docs, None)
-    assert found.columns == [*docs.columns, "lang_pred", "score", "ambiguous"] and found.toDF(*map(str, range(9))).filter("`6` = 'und'").count() == 2
+    assert found.columns == [*docs.columns[:-1], "lang_pred", "score", "ambiguous"] and found.filter("lang_pred = 'und' and score = 0").count() == 2
+    kept = language_id.identify(docs, None, ("l", "s", "a"))
+    assert kept.columns == [*docs.columns, "l", "s", "a"] and {r.Score for r in kept.collect()} == {1}
     assert language_id.identify(docs.limit(0), None).count() == 0
 
 
@@ -116,6 +151,99 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(p, want) and np.allclose(chains.pairs(scores, trans, ahead, behind), pairs)
 
 
+def test_word_features_are_all_there_and_in_order():
+    word = "donaudampfschifffahrtsgesellschaft".encode()
+    assert len(toxicity.word_features(word)) == 1 + 4 + 2 + len({word[i : i + 4] for i in range(len(word) - 3)})
+    code = "from trawlframe.llm import toxicity; print(toxicity.word_features(b'donaudampfschifffahrtsgesellschaft'))"
+    told = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": str(k), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(__file__)))}, capture_output=True, text=True, check=True).stdout for k in range(3)}
+    assert len(told) == 1
+
+
+def test_document_score_matches_enumeration():
+    """Score and marginals of a text with features summed and every tagging enumerated."""
+    rng = np.random.default_rng(9)
+    field = toxicity.Field()
+    field.unary, field.left, field.right = (rng.normal(size=1 << toxicity.DIM_BITS) for _ in range(3))
+    field.bias, field.trans, field.last = -0.7, rng.normal(size=(2, 2)), np.array([0.2, 0.5, 0.3])
+    text = "Some words of a Zonkerish kind"
+    words = [w.encode() for w in text.lower().split()]
+    own = []
+    for i, w in enumerate(words):
+        x = field.bias + sum(field.unary[b] for b in toxicity.word_features(w))
+        x += field.left[toxicity.beside_feature(words[i - 1], b"<")] if i else 0
+        x += field.right[toxicity.beside_feature(words[i + 1], b">")] if i + 1 < len(words) else 0
+        own.append(x)
+    total, ones = 0.0, np.zeros(len(words))
+    for m in range(1 << len(words)):
+        y = [m >> i & 1 for i in range(len(words))]
+        weight = math.exp(sum(x * v for x, v in zip(own, y)) + sum(field.trans[a, b] for a, b in zip(y, y[1:])))
+        total, ones = total + weight, ones + weight * np.array(y)
+    p = ones / total
+    want = 1 / (1 + math.exp(-(0.2 + 0.5 * math.log(p.max() / (1 - p.max())) + 0.3 * math.log(p.sum() + 1e-3))))
+    scores, marginals = toxicity.Tagger(field).tag([text, None])
+    assert np.allclose(marginals[0], p) and abs(scores[0] - want) < 1e-6
+
+
+def test_ftrl_matches_the_published_updates():
+    """Per-coordinate FTRL-proximal, one coordinate at a time."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(40):
+        at = np.unique(rng.integers(0, 50, 6))
+        rows.append((at, rng.normal(size=len(at)), int(rng.random() < 0.4)))
+    got = quality_classifier.train(rows, seed=3)
+    z, n = {}, {}
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        if abs(own) <= quality_classifier.L1:
+            return 0.0
+        return -(own - math.copysign(quality_classifier.L1, own)) / ((quality_classifier.BETA + math.sqrt(n.get(i, 0.0))) / quality_classifier.ALPHA + quality_classifier.L2)
+
+    ones = sum(r[2] for r in rows)
+    order = np.random.default_rng(3)
+    for _ in range(quality_classifier.EPOCHS):
+        for k in order.permutation(len(rows)).tolist():
+            at, x, y = rows[k]
+            w = {i: weight(i) for i in at.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at.tolist(), x))))
+            for i, v in zip(at.tolist(), x):
+                g = (p - y) * v * len(rows) / 2 / (ones if y else len(rows) - ones)
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality_classifier.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(got[:50], [weight(i) for i in range(50)]) and np.abs(got).max() > 0
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark, tmp_path):
+    rows = [(i % 10, f"text {i % 10} number {i:04d} " + "w " * 50) for i in range(400)]
+    folder = labelled(spark, tmp_path, rows, [(i, i % 2, i % 2) for i in range(10)])
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality_classifier.labelled(docs, labels, "quality", F.lit(False), 100, "x")
+    assert sorted(r.text[:16] for r in found.collect()) == [f"text {i} number 00" for i in range(10)]
+    sample = found.select(F.xxhash64("doc_id").alias("order"), "text")
+    size = F.octet_length("text")
+    assert quality_classifier.bounded(sample, size, 350).agg(F.sum(size)).first()[0] <= 350
+    assert quality_classifier.bounded(sample, size, 350).count() == 2 and quality_classifier.bounded(sample, size, 1 << 20).count() == 10
+
+
+def test_learned_operators_with_other_ids_repeats_and_empty_tables(spark, tmp_path):
+    rows = [(i, f"good calm words {i}" if i % 2 else f"Zonk bad!! words!! {i}") for i in range(60)] * 2 + [(None, "good calm words")]
+    labels = [(str(i), i % 2, 1 - i % 2) for i in range(60)]
+    docs = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("score", F.lit("own")).withColumn("y", F.lit(1)).withColumn("order", F.lit(2))
+    folder = written(docs, tmp_path)
+    spark.createDataFrame(labels, "doc_id string, quality int, toxic int").withColumn("text", F.lit("clash")).coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    for op, n in ((toxicity.op5_toxicity, 2), (quality_classifier.op10_quality_classifier, 2), (language_id.op1_language_id, 2), (quality_rules.op6_quality_rules, 2)):
+        found = op(spark, folder)
+        assert found.schema["doc_id"].dataType.simpleString() == "string"
+        by = found.toPandas().groupby("doc_id", dropna=False).size()
+        assert by.sum() == 121 and by.loc["3"] == n
+    empty = written(docs.limit(0), tmp_path / "none")
+    spark.createDataFrame([], "doc_id string, quality int, toxic int").coalesce(1).write.parquet(f"{empty}/labels.parquet")
+    for op in (toxicity.op5_toxicity, quality_classifier.op10_quality_classifier, language_id.op1_language_id, quality_rules.op6_quality_rules):
+        assert op(spark, empty).count() == 0
+
+
 def test_without_labels(spark, tmp_path):
     folder = labelled(spark, tmp_path, ["a b", None], [(0, 1, 0)])
     for op in (toxicity.op5_toxicity, quality_classifier.op10_quality_classifier):

@@ -69,8 +69,8 @@ def test_pieces_and_places(spark, tmp_path):
 
 def test_ranks_of_a_common_length(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 7)
-    rows = [(i % 40, 0, 0, 5 if i % 3 else 9) for i in range(100)]  # doc_ids repeat
-    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long")
+    rows = [(i % 2 or None, 0, 0, 5 if i % 3 else 9, i) for i in range(100)]  # doc_ids repeat
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, row long")
     ranks = packing.ranked(pieces, {5: 66, 9: 34}).toPandas()
     for length, n in ((5, 66), (9, 34)):
         assert sorted(ranks[ranks.length == length]["rank"]) == list(range(n))
@@ -114,7 +114,7 @@ def test_repetition_limit_and_budget(spark):
 
 def test_target_entropy(spark):
     docs = documents(spark, corpus(3))
-    uses = mixing.mix(docs, 1.0, None, 1.3).toPandas()
+    uses = mixing.mix(docs, 1.0, 30.0, 1.3).toPandas()
     q = uses.groupby(uses["source"].fillna("-"))["tokens"].sum() / uses["tokens"].sum()
     assert abs(-(q * np.log(q)).sum() - 1.3) < 0.03
 
@@ -124,3 +124,18 @@ def test_mixed_keeps_columns_and_empty_tables(spark):
     assert mixing.mixed(docs, 0.9, 1.0).columns == docs.columns
     assert mixing.mixed(docs.limit(0), 0.9, 1.0).count() == 0
     assert mixing.mixed(documents(spark, [None, ""]), 0.9, 1.0).count() == 0
+
+
+def test_entropy_beyond_the_repetition_limit(spark):
+    """One word against a million: an even mixture would use the word half a million times."""
+    docs = documents(spark, [(0, "w", "en", "tiny")] + [(i, "w " * 1000, "en", "big") for i in range(1, 200)])
+    uses = mixing.mix(docs, 0.9, 4.0, 0.69).toPandas()
+    assert 1 <= (uses["source"] == "tiny").sum() <= 4 and uses["epoch"].max() <= 4
+
+
+def test_one_doc_id_for_a_whole_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 5)
+    rows = [(None if i % 2 else 7, "w " * (i % 9), "en", "hot") for i in range(400)] + [(i, "w w", "en", "b") for i in range(1000, 1050)]
+    uses = mixing.mix(documents(spark, rows), 1.0, 1.0).toPandas()
+    hot = uses[uses["source"] == "hot"].sort_values(["start", "tokens"])
+    assert hot["tokens"].sum() == sum(i % 9 for i in range(400)) and (hot["start"].to_numpy() == (hot["tokens"].cumsum() - hot["tokens"]).to_numpy()).all()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from trawlframe.llm import language_id, simhash
 
@@ -29,6 +31,13 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark, tmp_path):
     assert set(found["doc_id"]) == ids[3] and (found.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+def test_a_corpus_without_languages_stays(spark):
+    rows = [(i, f"words of document {i}", None, None) for i in range(20)] + [(30, None, None, None), (31, "1 2 3", None, None)]
+    docs = documents(spark, rows).withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("own"))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(range(20)) and kept.columns == docs.columns
+
+
 def test_stages_call_their_operators():
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "line_dedup", "simhash_dedup", "source_mixing", "packing"] and language_id and simhash

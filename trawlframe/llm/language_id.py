@@ -5,12 +5,13 @@ says on which side a text lies; the codeword with the smallest loss, weighted by
 does on each language, wins. A runner-up that is nearly as close makes the text ambiguous.
 
 Null text and texts without a letter are 'und' with score 0. Ties go to the language that sorts first.
-Without any row to learn from, every text is 'und'.
+Without any row to learn from, every text is 'und'. Rows that share a doc_id are separate rows. An empty table has an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,25 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n codewords of +1 and -1, no two bits alike or complementary and none constant, far apart from each other."""
     if n < 2:
         return np.ones((n, 1))
+    every = 1 << (n - 1)  # splits of the languages, by who is not with the last one; 0 is none
     if n <= EXHAUSTIVE:
-        splits = np.arange(1, 1 << (n - 1))
-        return np.where((splits[None, :] >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
-    width, rng, best = int(np.ceil(BITS_PER_DOUBLING * np.log2(n))), np.random.default_rng(seed), (-1, None)
+        return _matrix(range(1, every), n)
+    width, rng, best = int(np.ceil(BITS_PER_DOUBLING * np.log2(n))), random.Random(seed), (-1, None)
     for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (n, width))
+        splits: dict[int, None] = {}
+        while len(splits) < width:
+            splits[rng.randrange(1, every)] = None
+        code = _matrix(splits, n)
         nearest = ((width - code @ code.T) / 2 + np.eye(n) * width).min()
-        if nearest > best[0] and (np.abs(code.sum(axis=0)) < n).all():
+        if nearest > best[0]:
             best = (nearest, code)
     return best[1]
 
 
+def _matrix(splits: Iterable[int], n: int) -> np.ndarray:
+    return np.array([[1.0 if split >> i & 1 else -1.0 for split in splits] for i in range(n)])
+
+
 def ngrams(text: str) -> np.ndarray:
     """Buckets of all byte n-grams of the letters of a whole text, lower-cased, everything between them one space."""
     raw = np.frombuffer(f" {text.lower()} ".encode().translate(_FOLD), np.uint8)
@@ -138,10 +146,16 @@ def fit(rows: DataFrame) -> Model | None:
     return model
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of docs with lang_pred, score and ambiguous; lang, source and doc_id take no part."""
+RESULT = ("lang_pred", "score", "ambiguous")
+
+
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = RESULT) -> DataFrame:
+    """The columns of docs, then language, score and whether it is ambiguous under the given names; lang, source and doc_id take no part.
+
+    A column of docs that has one of these names (in any case) gives way.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names} - {"text"}])
     own = docs.schema.names
-    out_names = ["lang_pred", "score", "ambiguous"]
     inner = [f"c{i}" for i in range(len(own))]  # names of docs may clash with ours
     judged = docs.toDF(*inner).withColumn("letter", F.coalesce(F.col(inner[own.index("text")]).rlike("\\p{L}"), F.lit(False)))
     at = own.index("text")
@@ -152,10 +166,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             texts, letters = batch.column(at), batch.column(len(own)).to_pylist()
             out = [model.decode(model.margins(t.as_py())) if ok and model else (UND, 0.0, False) for t, ok in zip(texts, letters)]
             new = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new], [*inner, *out_names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new], [*inner, *RESULT])
 
     found = judged.mapInArrow(score, f"{types}, lang_pred string, score double, ambiguous boolean")
-    return found.toDF(*[n for n in own], *out_names)
+    return found.toDF(*own, *names)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

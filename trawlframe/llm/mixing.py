@@ -1,12 +1,12 @@
 """Mixing sources to target weights by temperature (DataFrame functions only).
 
 Token shares of the sources are raised to an exponent: 1 keeps them, 0 makes them equal. The exponent is bisected, in steps of
-1 / STEPS, to the smallest one at which no source is repeated more than allowed, or to the largest one at which the
-mixture has the target entropy. The weights then become token quotas of a budget, and each source fills its quota with
+1 / STEPS, to the smallest one at which no source is repeated more than allowed; with a target entropy, to the largest one at which the
+mixture has it, unless the repetition limit, which always holds, asks for a larger one. The weights then become token quotas of a budget, and each source fills its quota with
 permutations of its documents: whole ones, then the beginning of one more, cut into blocks of equal tokens.
 
 Tokens are words. Null text has none; a source without tokens gets no quota. A null source is a source. Rows
-that share a doc_id are separate rows. Ties in a permutation go by row.
+that share a doc_id are separate rows. Ties in a permutation go by doc_id, then row. An empty table, or one without any word, has an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from .common import WORD, materialize, numbered
 STEPS = 1024
 #: Exponents that one pass over the sources compares.
 FAN = 16
-#: Rows of a permutation that one task sums up, about.
-PART_ROWS = 1_000
+#: Rows of a permutation that one task sums up, about, in up to so many parts of a source. A part of more than CROWDED times that has a repeated
+#: or null doc_id and is split by row.
+PART_ROWS, MAX_PARTS, CROWDED = 1_000, 20_000, 8
 SEED = "mix"
 #: The production mixture: as many tokens as the corpus has, no source more than twice.
 BUDGET_SHARE, MAX_REPEATS, BLOCK_TOKENS = 1.0, 2.0, 65_536
@@ -39,38 +40,39 @@ def sources_of(sized: DataFrame) -> DataFrame:
     return sized.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("total")).filter("total > 0")
 
 
-def bisect_exponent(sources: DataFrame, budget: int, max_repeats: float | None, target_entropy: float | None) -> int:
+def bisect_exponent(sources: DataFrame, budget: int, max_repeats: float, target_entropy: float | None = None) -> int:
     """The exponent in units of 1 / STEPS. FAN - 1 candidates are judged in a pass, and a few numbers come to the driver."""
     whole = sources.agg(F.sum("total")).first()[0] or 0
-    if max_repeats is not None and budget > max_repeats * whole:
+    if budget > max_repeats * whole:
         raise ValueError("the budget exceeds what the repetition limit allows at any exponent")
 
-    def flat_enough(candidates: list[int]) -> dict[int, bool]:
-        """Whether the candidate is one of the upper part of the range: the limit holds, or the entropy has fallen below the target."""
+    def judged(candidates: list[int]) -> dict[int, tuple[bool, bool]]:
+        """Whether the limit holds at a candidate, and whether the entropy has fallen below the target there."""
         rows = sources.select(F.col("total").cast("double").alias("t"), F.explode(F.array(*[F.lit(k) for k in candidates])).alias("k"))
         raised = F.exp(F.col("k") / STEPS * F.log("t"))
         stats = rows.groupBy("k").agg(F.sum(raised).alias("z"), F.sum(raised * F.col("k") / STEPS * F.log("t")).alias("zl"), F.max(raised / F.col("t")).alias("worst"))
-        out = {}
-        for k, z, zl, worst in stats.collect():
-            out[k] = budget * worst / z <= max_repeats if max_repeats is not None else math.log(z) - zl / z < target_entropy
-        return out
+        return {k: (budget * worst / z <= max_repeats, math.log(z) - zl / z < (target_entropy or 0.0)) for k, z, zl, worst in stats.collect()}
 
-    low, high = -1, STEPS if max_repeats is not None else STEPS + 1  # low fails, high holds
-    while high - low > 1:
-        candidates = sorted({low + (high - low) * i // FAN for i in range(1, FAN)} - {low, high}) or [low + 1]
-        judged = flat_enough(candidates)
-        low = max([low, *(k for k in candidates if not judged[k])])
-        high = min([high, *(k for k in candidates if judged[k])])
-    return high if max_repeats is not None else max(high - 1, 0)
+    def first(which: int, high: int) -> int:
+        """The smallest exponent at which the question is answered with yes; high, if there is none below it."""
+        low = -1  # low says no, high yes
+        while high - low > 1:
+            candidates = sorted({low + (high - low) * i // FAN for i in range(1, FAN)} - {low, high}) or [low + 1]
+            said = judged(candidates)
+            low = max([low, *(k for k in candidates if not said[k][which])])
+            high = min([high, *(k for k in candidates if said[k][which])])
+        return high
 
+    repeats = first(0, STEPS)
+    return repeats if target_entropy is None else max(repeats, first(1, STEPS + 1) - 1, 0)
 
-def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, uid: str | None = None) -> DataFrame:
+
+def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, uid: str | None = None) -> DataFrame:
     """One row per use of a document: uid, doc_id, source, epoch, tokens, start (tokens of its epoch before it), block.
 
-    Exactly one of max_repeats and target_entropy (in nats) is given; the budget is a share of the corpus's tokens.
+    No source is used more than max_repeats times over, so a row has that many uses at most; target_entropy is in nats; the
+    budget is a share of the corpus's tokens.
     """
-    if (max_repeats is None) == (target_entropy is None):
-        raise ValueError("give either max_repeats or target_entropy")
     if uid is None:
         docs, uid = numbered(docs, "__row_of_mixing"), "__row_of_mixing"
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -82,20 +84,27 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_repeats: float
     raised = F.exp(F.lit(k) / STEPS * F.log(F.col("total").cast("double")))
     z = sources.agg(F.sum(raised)).first()[0] or 1.0
     quota = F.floor(F.lit(float(budget)) * raised / F.lit(z) + 0.5).cast("long")
-    quotas = materialize(sources.select("src", "total", quota.alias("quota"), F.ceil(F.col("n_docs") / PART_ROWS).alias("parts")), "source-quotas")
+    quotas = materialize(sources.select("src", "total", quota.alias("quota"), F.least(F.ceil(F.col("n_docs") / PART_ROWS), F.lit(MAX_PARTS)).alias("parts"), "n_docs"), "source-quotas")
     return permuted(sized, quotas, block_tokens)
 
 
 def permuted(sized: DataFrame, quotas: DataFrame, block_tokens: int) -> DataFrame:
     """Fill each source's quota. The prefix sums are taken over parts of the permutation first, then inside each part, so that a large source spreads over many tasks."""
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("total")))).alias("epoch")
-    used = sized.join(quotas.filter("quota > 0"), "src").select("uid", "doc_id", "source", "src", "tokens", "total", "quota", "parts", epochs)
+    used = sized.join(quotas.filter("quota > 0"), "src").select("uid", "doc_id", "source", "src", "tokens", "total", "quota", "parts", "n_docs", epochs)
     order = F.md5(F.concat_ws(":", F.lit(SEED), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     used = used.withColumn("order", order).withColumn("part", F.floor(share * F.col("parts") / F.lit(float(1 << 32))))
     used = materialize(used, "permutations")
-    of = ["src", "epoch", "part"]
-    earlier = Window.partitionBy("src", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of = ["src", "epoch", "part", "sub"]
+    held = used.groupBy(*of[:3]).agg(F.count(F.lit(1)).alias("n"), F.first("n_docs").alias("n_docs"), F.first("parts").alias("parts"))
+    crowded = held.filter(F.col("n") > CROWDED * F.greatest(F.lit(PART_ROWS), F.col("n_docs") / F.col("parts")))
+    crowded = materialize(crowded.select(*of[:3], F.least(F.ceil(F.col("n") / PART_ROWS), F.lit(MAX_PARTS)).alias("subs")), "crowded-parts")
+    if crowded.isEmpty():
+        used = used.withColumn("sub", F.lit(0).cast("long"))
+    else:
+        used = used.join(crowded, of[:3], "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("subs")), F.lit(0).cast("long"))).drop("subs")
+    earlier = Window.partitionBy("src", "epoch").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     sums = used.groupBy(*of).agg(F.sum("tokens").alias("held")).select(*of, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*of).orderBy("order", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = used.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(materialize(sums, "part-sums"), of)

@@ -5,7 +5,8 @@ all that reaches the driver, however many documents there are. The reduction fix
 that dominate every other way to fill their sequence, the rest is packed best-fit decreasing, and both
 say how many sequences of each pattern to build. The pieces of a length then take their places by rank.
 
-Null text counts as empty and still has its end token. Rows that share a doc_id are packed separately.
+Null text counts as empty and still has its end token. Rows that share a doc_id are packed separately. Pieces of a length take
+its places in no promised order. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from ..session import table
 from .common import materialize
 
 CAPACITY, END = 2048, 0
-#: Rows that are ranked together, about: a length with more is split into parts.
-RANK_ROWS = 1_000
+#: Rows that are ranked together, about: a length with more is split into parts, up to so many that one task can add them up.
+RANK_ROWS, RANK_PARTS = 250, 20_000
 
 
 class Encoder:
@@ -37,7 +39,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.slow, self.fast = Tokenizer.from_file(path), None
+        self.slow, self.fast, self.refused = Tokenizer.from_file(path), None, 0
         try:
             import public_tokenizers
             import tiktoken
@@ -58,9 +60,10 @@ class Encoder:
         if self.fast:
             try:
                 return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
-            except BaseException as e:  # its regular expression gives up on some very long runs
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as e:  # its regular expression gives up on some very long runs, by a panic that is no Exception
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
+                self.refused += 1
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -78,25 +81,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece, END included.
+    """doc_id, piece, start, length, row and ids (little-endian unsigned 32-bit) of every piece, END included.
 
-    Only a document of more than `capacity` ids is cut; all its pieces but the first are full.
+    Only a document of more than `capacity` ids is cut; all its pieces but the first are full. row numbers the pieces, whatever their doc_id.
     """
-    names = ["doc_id", "piece", "start", "length", "ids"]
+    names = ["doc_id", "piece", "start", "length", "row", "ids"]
+    key_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer or tokenizer_path())
+        row = TaskContext.get().partitionId() << 40  # the same if the task is run again
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            for doc_id, text in zip(keys, batch.column(1)):
+            at, out = [], []
+            for place, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 starts = [0, *range(first, len(ids), capacity)]
-                out += [(doc_id, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+                out += [(k, a, b - a, row + k, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+                at += [place] * len(starts)
+                row += len(starts)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {key_type}, piece int, start long, length long, row long, ids binary")
 
 
 Pattern = tuple[tuple[int, ...], int]
@@ -213,17 +221,18 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def ranked(pieces_table: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Adds rank, from 0 within each length, without bringing a length's pieces into one task.
+    """rank, from 0 within each length, in place of row, without bringing a length's pieces into one task.
 
-    counts, the histogram, says how many parts a length needs; the parts' sizes are then summed up.
+    counts, the histogram, says how many parts a length needs; pieces are dealt to them by row, so that a repeated or null doc_id is no
+    hot key; the parts' sizes are then summed up.
     """
     spark = pieces_table.sparkSession
-    many = spark.createDataFrame([(x, -(-n // RANK_ROWS)) for x, n in counts.items()], "length long, parts long")  # one row a length
-    parted = pieces_table.join(F.broadcast(many), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("parts"))).drop("parts")
+    many = spark.createDataFrame([(x, min(-(-n // RANK_ROWS), RANK_PARTS)) for x, n in counts.items()], "length long, parts long")  # one row a length
+    parted = pieces_table.join(F.broadcast(many), "length").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = parted.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start"))
-    return parted.withColumn("within", within).join(sums, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("part", "within", "before")
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("row"))
+    return parted.withColumn("within", within).join(sums, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("row", "part", "within", "before")
 
 
 def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:

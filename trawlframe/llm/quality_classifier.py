@@ -3,6 +3,9 @@
 Features are one- and two-grams of tokens (runs of letters, digits or marks; lower-cased) and one- to
 three-grams of their shapes, where a token that repeats the one before has a shape of its own; their counts are scaled to
 length one. Null and empty texts have the bias alone. Without both labels to learn from, scores are 0.5.
+
+Rows of documents that share a doc_id are scored one by one and count once in the sample, by the smallest text; a doc_id that repeats among the labels
+counts once, by its larger label. A score of exactly 0.5 is predicted 1. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import crc_mod, sampled
+from .common import crc_mod, materialize, sampled
 
-#: Rows of each label to learn from, about; all, if there are fewer.
-SAMPLE_ROWS = 4_000
+#: Rows of each label to learn from, about; all, if there are fewer. Of their features, so many bytes are learnt from at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
 DIM_BITS, EPOCHS = 18, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 
@@ -86,8 +89,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> np.
     return weights(np.arange(1 << DIM_BITS))
 
 
-def fit(rows: DataFrame, label: str) -> np.ndarray | None:
-    """Weights learnt from a bounded sample of (doc_id, text, label); its sparse features go to the driver."""
+def fit(rows: DataFrame, label: str, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray | None:
+    """Weights learnt from a bounded sample of (doc_id, text, label); its sparse features, of sample_bytes at most, go to the driver."""
     sample = rows.select("text", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("order"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +100,9 @@ def fit(rows: DataFrame, label: str) -> np.ndarray | None:
             columns = [pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1), batch.column(2)], ["at", "x", "y", "order"])
 
-    found = sample.mapInArrow(make, "at binary, x binary, y int, order long").toPandas().sort_values(["order", "at"])
-    rows_ = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for a, x, y in zip(found["at"], found["x"], found["y"].tolist())]
+    made = materialize(sample.mapInArrow(make, "at binary, x binary, y int, order long"), "label-features")
+    found = bounded(made, F.octet_length("at") + F.octet_length("x"), sample_bytes).toPandas().sort_values(["order", "at"])
+    rows_ = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4"), y) for a, x, y in zip(found["at"], found["x"], found["y"].tolist())]
     return train(rows_) if found["y"].nunique() == 2 else None
 
 
@@ -118,17 +122,31 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
                 out.append(float(1 / (1 + np.exp(-np.clip(small[at] @ x, -35, 35)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, bound: int | dict, seed: str) -> DataFrame:
-    """doc_id, text and label of about `bound` learnable documents of each label.
+    """doc_id, text and label of about `bound` learnable documents of each label, written.
 
-    The sample is drawn among the labels, so that only its rows, of proven number, meet the texts, which stay where they are.
-    A doc_id that repeats in labels counts once, by its larger label.
+    The sample is drawn among the labels, so that only its rows, of proven number, meet the texts, which stay where they are. One row
+    stands for a doc_id, whether it repeats in labels (the larger label counts) or in documents (the smallest text does, before anything is shuffled).
     """
     one = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(column).cast("int").alias(column))
-    return docs.select("doc_id", "text").join(F.broadcast(sampled(one, column, bound, seed)), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(sampled(one, column, bound, seed)), "doc_id")
+    return materialize(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(column).alias(column)), f"sample-{column}")
+
+
+def bounded(sample: DataFrame, size: Column, bound: int) -> DataFrame:
+    """Rows of a written sample (order, ...), in their order as many as hold `bound` bytes; one that would exceed what is left is passed by.
+
+    Two numbers a row of the sample come to the driver.
+    """
+    left, chosen = bound, []
+    for order, n in sorted(map(tuple, sample.select("order", size.cast("long")).collect())):
+        if n <= left:
+            left -= n
+            chosen.append(order)
+    return sample.filter(F.col("order").isin(chosen))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

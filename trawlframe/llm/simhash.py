@@ -15,6 +15,7 @@ share a doc_id are separate rows; a null doc_id never names a class unless the c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["uid", "doc_id", "fp"])
 
-    return docs.mapInArrow(make, "uid string, doc_id long, fp long")
+    return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 class Forest:
@@ -123,35 +124,50 @@ def trie_links(fps: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
     return links
 
 
-#: First bit and number of bits of the blocks; BUDGET + 1 of them.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: A block value with more fingerprints than this is split by blocks of the remaining bits, of which again one must agree.
+#: A group with more fingerprints than this is split by blocks of the bits that it does not agree on, of which again one must agree.
 SPLIT = 20_000
 
 
-def block(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
+def low_bits(n: Column) -> Column:
+    """A number whose n lowest bits are set; n below 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+
+
+def blocks(rest: Column, width: Column, budget: int) -> Column:
+    """Of the `width` lowest bits of rest, each of budget + 1 blocks: value, rest without the block, and the width of that."""
+    out = []
+    for j in range(budget + 1):
+        lo, hi = (F.floor(width * k / (budget + 1)).cast("int") for k in (j, j + 1))
+        above = F.when(hi >= BITS, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", rest, F.least(hi, F.lit(BITS - 1))))
+        value = F.call_function("shiftrightunsigned", rest, lo).bitwiseAND(low_bits(hi - lo))
+        left = rest.bitwiseAND(low_bits(lo)).bitwiseOR(F.call_function("shiftleft", above, lo))
+        out.append(F.struct(F.lit(j).alias("j"), value.alias("value"), left.alias("rest"), (width - (hi - lo)).alias("width")))
+    return F.array(*out)
 
 
 def block_keys(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
-    """fp and (k, value, j, rest): fingerprints within the budget share one key at least; j and rest are 0 but for split block values."""
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("fp"), *b).alias("value")) for k, b in enumerate(BLOCKS)])
-    keyed = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.*")
-    large = materialize(keyed.groupBy("k", "value").count().filter(F.col("count") > split).select("k", "value"), "large-blocks")
-    plain = keyed.select("fp", "k", "value", F.lit(0).alias("j"), F.lit(0).cast("long").alias("rest"))
-    if large.isEmpty():
-        return plain
-    rest = F.when(F.col("k") == 0, F.shiftrightunsigned("fp", 21)).when(F.col("k") == 1, F.shiftrightunsigned("fp", 42).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(F.lit((1 << 21) - 1)), 22))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 42) - 1)))
-    entries = F.array(*[F.struct(F.lit(j + 1).alias("j"), block(rest, 14 * j, 14 if j < 2 else 15).alias("rest")) for j in range(3)])
-    marked = materialize(keyed, "block-keys").join(large.withColumn("large", F.lit(True)), ["k", "value"], "left")
-    fine = F.when(F.col("large"), entries).otherwise(F.array(F.struct(F.lit(0).alias("j"), F.lit(0).cast("long").alias("rest"))))
-    return marked.select("fp", "k", "value", F.explode(fine).alias("e")).select("fp", "k", "value", "e.*")
+    """fp and key: fingerprints within the budget share one key at least, and a key has `split` fingerprints at most.
+
+    Groups that are larger are split by the bits that are left until they are small enough; distinct fingerprints that agree on all but
+    w bits are 2^w at most, so that ends.
+    """
+    todo, done, first = nodes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(BITS).alias("width")), [], True
+    while first or not todo.isEmpty():
+        parts = todo.select("fp", "key", F.explode(blocks(F.col("rest"), F.col("width"), BUDGET)).alias("e"))
+        keyed = parts.select("fp", F.xxhash64("key", "e.j", "e.value").alias("key"), "e.rest", "e.width")
+        keyed = keyed if first else materialize(keyed, "block-keys")
+        large = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("w")).filter((F.col("n") > split) & (F.col("w") > BUDGET)).select("key"), "large-blocks")
+        if large.isEmpty():
+            done.append(keyed.select("fp", "key"))
+            break
+        marked = materialize(keyed.join(large.withColumn("large", F.lit(True)), "key", "left"), "marked-blocks")
+        done.append(marked.filter("large is null").select("fp", "key"))
+        todo, first = marked.filter("large").select("fp", "key", "rest", "width"), False
+    return reduce(DataFrame.union, done)
 
 
 def links(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
     """(a, b): links among distinct fingerprints that connect all that the full set of links connects."""
-    keys = ["k", "value", "j", "rest"]
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, carry = ["a", "b"], None
 
@@ -159,7 +175,7 @@ def links(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             sizes = np.diff(cuts)
             for lo, size in zip(cuts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                fps = np.sort(rows[lo : lo + size, 4].astype(np.int64).view(np.uint64))
+                fps = np.unique(rows[lo : lo + size, 1].copy().view(np.uint64))
                 if pairs := trie_links(fps):
                     at = np.array(pairs)
                     found.append((fps[at[:, 0]], fps[at[:, 1]]))
@@ -167,18 +183,18 @@ def links(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
 
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in [*keys, "fp"]], axis=1)
+            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in ("key", "fp")], axis=1)
             rows = rows if carry is None else np.concatenate([carry, rows])
             if not len(rows):
                 continue
-            new = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+            new = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
             cuts = np.concatenate([[0], new])
             carry = rows[cuts[-1] :]  # the last group may go on
             yield of(rows, cuts)
         if carry is not None:
             yield of(carry, np.array([0, len(carry)]))
 
-    return block_keys(nodes, split).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+    return block_keys(nodes, split).repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
 def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
@@ -225,7 +241,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, bands], ["uid", "doc_id", "key", "bands"])
 
-    return docs.mapInArrow(make, "uid string, doc_id long, key binary, bands array<long>")
+    return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -7,7 +7,8 @@ letter groups and of the words beside it, so that unseen forms of a root are tag
 every token's marginal; a document's score is a logistic function of the largest and the summed ones.
 
 Null and empty texts get the score of a document without tokens. Without both labels to learn from, scores are 0.5
-and no span is found.
+and no span is found. Rows of documents that share a doc_id are scored one by one and count once in the sample, by the smallest text;
+a doc_id that repeats among the labels counts once, by its larger label. A score of exactly 0.5 is predicted 1. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .common import crc_mod
-from .quality_classifier import labelled
+from .quality_classifier import bounded, labelled
 
-#: Toxic and other rows to learn from, about; all, if there are fewer.
-SAMPLE_ROWS = {1: 800, 0: 1_600}
+#: Toxic and other rows to learn from, about; all, if there are fewer. Of their texts, so many bytes are learnt from at most.
+SAMPLE_ROWS, SAMPLE_BYTES = {1: 800, 0: 1_600}, 8 << 20
 DIM_BITS, ROUNDS, RATE, DECAY = 18, 40, 0.3, 1e-4
-#: A toxic token's word is in so many different toxic texts and such a share of them at least, and so many times as often as in others.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.015, 20.0
+#: A toxic token's word is in so many different toxic texts at least, and so many times as often as in others.
+LEAST_DOCS, LEAST_RATIO = 3, 40.0
 #: Training cuts chains here; scoring never does.
 TRAIN_CHAIN = 256
 #: Tokens that are tagged at a time; a longer document is tagged alone.
@@ -44,10 +45,10 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def word_features(word: bytes) -> list[int]:
-    """Buckets of a word itself: the word, its first and last letters, its groups of four letters."""
+    """Buckets of a word itself: the word, its first and last letters, all its groups of four letters in order."""
     own = [b"w" + word, *(b"p" + word[:k] for k in (3, 4, 5, 6) if len(word) > k), *(b"s" + word[-k:] for k in (3, 4) if len(word) > k)]
-    own += {b"g" + word[i : i + 4] for i in range(len(word) - 3)}
-    return [(zlib.crc32(x) * 2654435761 & 0xFFFFFFFF) >> (32 - DIM_BITS) for x in own[:24]]
+    own += dict.fromkeys(b"g" + word[i : i + 4] for i in range(len(word) - 3))
+    return [(zlib.crc32(x) * 2654435761 & 0xFFFFFFFF) >> (32 - DIM_BITS) for x in own]
 
 
 def word_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def weak_labels(ids: list[np.ndarray], toxic: np.ndarray, n_words: int) -> np.nd
     held, n = np.zeros((2, n_words)), np.bincount(toxic, minlength=2)
     for own, y in zip(ids, toxic.tolist()):
         held[y, np.unique(own)] += 1
-    return (held[1] >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & ((held[1] + 0.05) / max(n[1], 1) >= LEAST_RATIO * (held[0] + 0.5) / max(n[0], 1))
+    return (held[1] >= LEAST_DOCS) & ((held[1] + 0.05) / max(n[1], 1) >= LEAST_RATIO * (held[0] + 0.5) / max(n[0], 1))
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Field:
@@ -238,10 +239,10 @@ def per_document(p: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return largest, total
 
 
-def fit(rows: DataFrame) -> Field | None:
-    """Learn from (doc_id, text, toxic): a bounded sample of whole texts of each label goes to the driver."""
+def fit(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Field | None:
+    """Learn from a written sample (doc_id, text, toxic); whole texts, of sample_bytes in all at most, go to the driver."""
     sample = rows.select(F.xxhash64("doc_id").alias("order"), F.col("toxic").cast("int").alias("toxic"), "text")
-    found = sample.toPandas().sort_values(["order", "toxic"])
+    found = bounded(sample, F.coalesce(F.octet_length("text"), F.lit(0)), sample_bytes).toPandas().sort_values(["order", "toxic"])
     toxic = found["toxic"].to_numpy(np.int64)
     return train(found["text"].tolist(), toxic) if len(set(toxic.tolist())) == 2 else None
 
@@ -323,7 +324,7 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
                         spans[i] = [{"start": a, "end": b} for a, b in offending(texts[i], p)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double, spans array<struct<start: int, end: int>>")
+    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start: int, end: int>>")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
