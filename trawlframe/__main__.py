@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import signal
 import sys
 import time
 
@@ -25,8 +26,17 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("trawlframe").getOrCreate()
     began, message = time.time(), "crawl finished"
     counts: dict = {}
+
+    def progress(pages: int, assets: int) -> None:
+        counts.update(page=pages, asset=assets)
+        log.info("%d of %d pages and %d assets accepted", pages, config.max_count, assets)
+
+    def stop(number: int, frame: object) -> None:
+        raise KeyboardInterrupt
+
+    signal.signal(signal.SIGTERM, stop)  # as on an interrupt: running jobs, waits between tries included, are cancelled
     try:
-        counts = {r["kind"]: r["n"] for r in summary(crawl(spark, config)).collect()}
+        counts = {r["kind"]: r["n"] for r in summary(crawl(spark, config, progress=progress)).collect()}
     except KeyboardInterrupt:
         spark.sparkContext.cancelAllJobs()
         message = "crawl stopped"

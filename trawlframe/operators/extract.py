@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..functions.binding import let
 
 
 def marked(pages: DataFrame, tags: tuple[str, ...] = html.URL_TAGS, match=html.resource_url) -> DataFrame:
@@ -46,6 +47,16 @@ def resolved(found: DataFrame) -> DataFrame:
     return taken.withColumn("dropped", dropped).withColumn("kept", F.col("dropped").isNull()).withColumn("target", urls.text(F.col("abs"))).withColumn("kind", F.when(F.col("tag") == "a", "page").otherwise("asset")).drop("ok")
 
 
+def target_of(base: Column, source: Column) -> Column:
+    """The struct of a reference (its text as it stands) seen from a page (the struct of its URL), null where resolved() would drop it."""
+
+    def of(f: Column) -> Column:
+        absolute = let(urls.resolve(base, urls.parts(f["bare"])), lambda a: F.when(a["host"] == base["host"], a))
+        return F.when(urls.valid(f["source"], f["whole"]), absolute)
+
+    return let(F.struct(source.alias("source"), urls.without_fragment(source).alias("bare"), urls.parts(source).alias("whole")), of)
+
+
 def references(pages: DataFrame) -> DataFrame:
     """The kept references of pages."""
     return resolved(resources(pages)).filter("kept")
@@ -71,12 +82,13 @@ def children(pages: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("src_url"), "kind", F.when(F.col("kind") == "page", 0).otherwise(1).alias("kind_rank"), "pos", F.col("target").alias("dst_url"))
 
 
-def occurrences_by_url(found: DataFrame) -> DataFrame:
-    """asset_url, n and page_ids (ascending, joined by commas): every place that refers to an asset.
+def occurrences(found: DataFrame) -> DataFrame:
+    """asset_url, page_id and k, how often the page refers to the asset: one row per pair, however many pages an asset has."""
+    return found.groupBy("asset_url", "page_id").agg(F.count(F.lit(1)).alias("k"))
 
-    The places of one asset are gathered in one row, as the multimap asks; counts are summed before the shuffle.
-    """
-    per_page = found.groupBy("asset_url", "page_id").agg(F.count(F.lit(1)).alias("k"))
+
+def occurrences_by_url(found: DataFrame) -> DataFrame:
+    """asset_url, n and page_ids (ascending, joined by commas) in one row per asset: the text form of occurrences(), for assets of a bounded number of pages."""
     ids = F.array_sort(F.collect_list(F.struct("page_id", "k")))
     joined = F.array_join(F.flatten(F.transform(ids, lambda s: F.array_repeat(s["page_id"].cast("string"), s["k"].cast("int")))), ",")
-    return per_page.groupBy("asset_url").agg(F.sum("k").alias("n"), joined.alias("page_ids"))
+    return occurrences(found).groupBy("asset_url").agg(F.sum("k").alias("n"), joined.alias("page_ids"))

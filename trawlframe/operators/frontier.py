@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import Batches, materialize, scratch
+
+
+@contextmanager
+def dealt(edges: DataFrame, by: str) -> Iterator[DataFrame]:
+    """edges written once, in buckets by a column and sorted by it, for as long as they are in use: a join on that column moves the other side only."""
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"trawlframe_edges_{uuid.uuid4().hex}"
+    edges.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", scratch(spark, "edges")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def first_of_each(items: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -54,57 +69,66 @@ def limited(items: DataFrame, order: list[str], limit: int, rank: str = "rank")
 def walk(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
     """url, kind and level of all that is reached from seeds (url); edges are src_url, kind, dst_url.
 
-    A level is one join of the frontier with the edges and one anti-join with what was seen. Levels are written, so
-    that plans stay short and lost executors cost a level. Only pages are followed. Ends when a level finds nothing.
+    A level is one join of the frontier with the edges and one anti-join with what was seen. Levels are batches of one written table, so
+    that plans stay short and lost executors cost a level; the edges are written once, dealt and sorted by src_url. Only pages are followed. Ends when a level finds nothing.
     """
-    frontier = materialize(seeds.select("url").distinct().select("url", F.lit("page").alias("kind"), F.lit(0).alias("level")), "level-0")
-    levels = [frontier]
-    while max_levels is None or len(levels) <= max_levels:
-        pages = frontier.filter("kind = 'page'").select(F.col("url").alias("src_url"))
-        found = edges.join(pages, "src_url").groupBy(F.col("dst_url").alias("url")).agg(F.max("kind").alias("kind"))  # a page before an asset
-        new = unseen(found, merged([x.select("url") for x in levels]))
-        frontier = materialize(new.select("url", "kind", F.lit(len(levels)).alias("level")), f"level-{len(levels)}")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    return merged(levels)
+    spark = edges.sparkSession
+    levels = Batches(spark, "levels", "url string, kind string, level int")
+    frontier, level = levels.put(seeds.select("url").distinct().select("url", F.lit("page").alias("kind"), F.lit(0).alias("level")), 0), 0
+    with dealt(edges, "src_url") as edges:
+        while max_levels is None or level < max_levels:
+            level += 1
+            pages = frontier.filter("kind = 'page'").select(F.col("url").alias("src_url"))
+            found = edges.join(pages, "src_url").groupBy(F.col("dst_url").alias("url")).agg(F.max("kind").alias("kind"))  # a page before an asset
+            new = unseen(found, levels.upto(level))
+            frontier = levels.put(new.select("url", "kind", F.lit(level).alias("level")), level)
+            if frontier.isEmpty():
+                break
+    return levels.upto(level + 1)
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """url, kind, level and rank of what a crawl of an edge table accepts; edges are src_url, kind, kind_rank, pos, dst_url."""
 
-    def expand(accepted: DataFrame) -> DataFrame:
-        parents = accepted.filter("kind = 'page'").select(F.col("url").alias("src_url"), F.col("rank").alias("parent"))
-        return edges.join(parents, "src_url").select(F.col("dst_url").alias("url"), "parent", "kind_rank", "pos", "kind")
+    with dealt(edges, "src_url") as laid:
+
+        def expand(accepted: DataFrame) -> DataFrame:
+            parents = accepted.filter("kind = 'page'").select(F.col("url").alias("src_url"), F.col("rank").alias("parent"))
+            return laid.join(parents, "src_url").select(F.col("dst_url").alias("url"), "parent", "kind_rank", "pos", "kind")
 
-    return grow(expand, seeds, limit)
+        return grow(expand, seeds, limit)
 
 
-def grow(expand: Callable[[DataFrame], DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
+def grow(expand: Callable[[DataFrame], DataFrame], seeds: DataFrame, limit: int, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """url, kind, level and rank of what a crawl with one worker a stage accepts, in its order, with at most `limit` pages.
 
     `expand` turns what a level accepted (url, kind, rank, level) into candidates (url, parent, kind_rank, pos, kind). Order:
     level, rank of the parent, links before assets, position. A page beyond the limit is refused but stays seen, so
-    that an asset of that URL is refused later too. Ends when a level brings nothing new.
+    that an asset of that URL is refused later too. Ends when a level brings nothing new. `progress` is told of the pages and assets accepted so far after each level.
     """
     order = ["parent", "kind_rank", "pos"]
+    spark = seeds.sparkSession
     seed = first_of_each(seeds.select("url", F.lit(0).alias("pos")), "url", ["pos"]).drop("pos")
-    accepted = materialize(limited(seed.select("url", F.lit("page").alias("kind")), ["url"], limit).withColumn("level", F.lit(0)), "accepted-0")
+    done = Batches(spark, "accepted", "url string, kind string, level int, rank long")
+    seen = Batches(spark, "found", "url string, kind string, parent long, kind_rank int, pos long")
+    accepted = done.put(limited(seed.select("url", F.lit("page").alias("kind"), F.lit(0).alias("level")), ["url"], limit), 0)
+    seen.put(accepted.select("url", "kind", *[F.lit(0).cast(t).alias(c) for c, t in zip(order, ("long", "int", "long"))]), 0)
     pages = total = accepted.count()
-    done, seen, level = [accepted], [accepted.select("url")], 0
+    level = 0
     while True:
         level += 1
         found = expand(accepted).select("url", *order, "kind")
-        new = materialize(unseen(first_of_each(found, "url", order), merged(seen)), f"found-{level}")
+        new = seen.put(unseen(first_of_each(found, "url", order), seen.upto(level)).select("url", "kind", F.col("parent").cast("long"), F.col("kind_rank").cast("int"), F.col("pos").cast("long")), level)
         if new.isEmpty():
-            return merged(done).select("url", "kind", "level", "rank")
+            return done.upto(level).select("url", "kind", "level", "rank")
         links = first_n(new.filter("kind = 'page'"), order, limit - pages)
         taken = links.unionByName(new.filter("kind <> 'page'"))
-        placed = ranked(taken, order, "__rank").select("url", "kind", (F.col("__rank") + total).alias("rank"))
-        accepted = materialize(placed.withColumn("level", F.lit(level)), f"accepted-{level}")
+        placed = ranked(taken, order, "__rank").select("url", "kind", F.lit(level).alias("level"), (F.col("__rank") + total).alias("rank"))
+        accepted = done.put(placed, level)
         counts = {r[0]: r[1] for r in accepted.groupBy("kind").count().collect()}
         total, pages = total + sum(counts.values()), pages + counts.get("page", 0)
-        done, seen = [*done, accepted], [*seen, new.select("url")]
+        if progress:
+            progress(pages, total - pages)
 
 
 def merged(streams: list[DataFrame]) -> DataFrame:

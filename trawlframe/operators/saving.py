@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, paths, urls
 from ..functions.binding import let
-from .extract import references
+from ..storage import numbered
+from .extract import references, target_of
 
 
 def page_path(p: Column) -> Column:
@@ -29,9 +30,14 @@ def with_page_path(pages: DataFrame) -> DataFrame:
 
 
 def last_writers(items: DataFrame, order: str) -> DataFrame:
-    """Of items that share a host and save_path, the last one by `order` stays: what is left on disk after all are saved."""
-    last = Window.partitionBy("host", "save_path").orderBy(F.col(order).desc())
-    return items.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+    """Of items that share a host and save_path, the last one by `order` (then the last row) stays: what is left on disk after all are saved.
+
+    The winners are found by their keys; other columns, content among them, take no part in that.
+    """
+    name = "__row_of_items"
+    own = numbered(items, name)
+    last = own.groupBy("host", "save_path").agg(F.max(F.struct(F.col(order).alias("order"), F.col(name).alias("row"))).alias("last"))
+    return own.join(last.select(F.col("last.row").alias(name)), name, "left_semi").drop(name)
 
 
 def collisions(pages: DataFrame) -> DataFrame:
@@ -47,45 +53,52 @@ def rewrite_map(pages: DataFrame, root_name: str = "") -> DataFrame:
     return found.withColumn("to", to).select("page_id", "pos", "tag", F.col("source_url").alias("old_url"), "target", paths.relative_url(F.col("page_path"), F.col("to")).alias("new_url"))
 
 
-def rewritten(pages: DataFrame, root_name: str = "") -> DataFrame:
-    """pages with every kept reference replaced in the document; all other bytes stay as they are.
+def rewritten_html(url: Column, document: Column, root_name: str = "") -> Column:
+    """The document of a page with every kept reference replaced; all other characters stay as they are.
 
-    The document's tokens and the gaps between them take turns; a token whose turn among the resources has a new
-    URL gets it in its first attribute of that name.
+    The document's tokens and the gaps between them take turns; a token that refers to a resource gets the new URL in its
+    first attribute of that name. All inside one expression: rows need no key, and nothing is shuffled.
     """
-    new = rewrite_map(pages, root_name).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_url"))).alias("__new"))
-    tokens = html.tokens(F.col("html"))
 
-    def described(token: Column) -> Column:
-        tag = html.tag_name(token)
-        url = F.when(tag.isin(*html.URL_TAGS), html.resource_url(tag, html.attributes(token)))
-        return F.struct(token.alias("token"), tag.alias("tag"), url.isNotNull().alias("is_resource"))
+    def token(own: Column, t: Column) -> Column:
+        def with_tag(tag: Column) -> Column:
+            def with_source(source: Column) -> Column:
+                def with_target(to: Column) -> Column:
+                    path = F.when(tag == "a", link_path(to, root_name)).otherwise(asset_path(to))
+                    return F.when(to.isNotNull(), with_url(t, tag, paths.relative_url(own["path"], path)))
+
+                return F.when(source.isNotNull(), let(target_of(own["base"], source), with_target))
+
+            return F.when(tag.isin(*html.URL_TAGS), let(html.resource_url(tag, html.attributes(t)), with_source))
 
-    def numbered(state: Column, s: Column) -> Column:
-        n = state["n"] + s["is_resource"].cast("long")
-        return F.struct(n.alias("n"), F.concat(state["l"], F.array(F.struct(s["token"].alias("token"), s["tag"].alias("tag"), F.when(s["is_resource"], state["n"]).alias("pos")))).alias("l"))
+        return F.coalesce(let(html.tag_name(t), with_tag), t)
 
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<token: string, tag: string, pos: bigint>>").alias("l"))
-    listed = F.aggregate(F.transform(tokens, described), start, numbered)["l"]
-    joined = pages.join(new, "page_id", "left").withColumn("__tokens", listed).withColumn("__gaps", F.split("html", html.TOKEN, -1))
+    def of(own: Column) -> Column:
+        new = F.transform(html.tokens(document), lambda t: token(own, t))
+        pieces = F.zip_with(F.split(document, html.TOKEN, -1), new, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit(""))))
+        return F.array_join(pieces, "")
 
-    def out(s: Column) -> Column:
-        target = F.try_element_at(F.col("__new"), s["pos"])
-        return F.when(target.isNotNull(), with_url(s["token"], s["tag"], target)).otherwise(s["token"])
+    return let(let(urls.parts(url), lambda base: F.struct(base.alias("base"), page_path(base).alias("path"))), of)
 
-    pieces = F.zip_with(F.col("__gaps"), F.transform("__tokens", out), lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
-    text = F.when(F.col("__new").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("html"))
-    return joined.withColumn("html", text).select(*pages.columns)
+
+def rewritten(pages: DataFrame, root_name: str = "") -> DataFrame:
+    """pages with rewritten documents. Rows are rewritten one by one, whatever their page_id; a null document stays null."""
+    return pages.withColumn("html", F.coalesce(rewritten_html(F.col("url"), F.col("html"), root_name), F.col("html")))
 
 
 def with_url(token: Column, tag: Column, new_url: Column) -> Column:
     """An opening tag with a new value for its URL attribute; unchanged if it has none."""
-    attrs = html.attributes(token)
-    name = html.url_attribute(tag)
-    first = F.array_position(F.transform(attrs, lambda a: html.attribute_name(a) == name), True).cast("int")
-    old = F.get(attrs, first - 1)
-    quoted = F.concat(html.attribute_name(old), F.lit('="'), F.replace(F.replace(new_url, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&#34;")), F.lit('"'))
-    before = F.aggregate(F.slice(attrs, F.lit(1), F.greatest(first - 1, F.lit(0))), F.regexp_extract(token, "^(<[A-Za-z][^\\t\\n\\f\\r />]*)", 1), lambda s, a: F.concat(s, F.regexp_extract(F.substring(token, F.length(s) + 1, F.length(token)), "^([\\t\\n\\f\\r /]*)", 1), a))
-    blank = F.regexp_extract(F.substring(token, F.length(before) + 1, F.length(token)), "^([\\t\\n\\f\\r /]*)", 1)
-    rest = F.substring(token, F.length(before) + F.length(blank) + F.length(old) + 1, F.length(token))
-    return F.when(first > 0, F.concat(before, blank, quoted, rest)).otherwise(token)
+    blank = "^([\\t\\n\\f\\r /]*)"
+
+    def replaced(f: Column) -> Column:
+        old = F.get(f["attrs"], f["first"] - 1)
+        quoted = F.concat(html.attribute_name(old), F.lit('="'), F.replace(F.replace(new_url, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&#34;")), F.lit('"'))
+        before = F.aggregate(F.slice(f["attrs"], F.lit(1), f["first"] - 1), F.regexp_extract(token, "^(<[A-Za-z][^\\t\\n\\f\\r />]*)", 1), lambda s, a: F.concat(s, F.regexp_extract(F.substring(token, F.length(s) + 1, F.length(token)), blank, 1), a))
+        upto = let(before, lambda b: F.concat(b, F.regexp_extract(F.substring(token, F.length(b) + 1, F.length(token)), blank, 1)))
+        return let(upto, lambda u: F.concat(u, quoted, F.substring(token, F.length(u) + F.length(old) + 1, F.length(token))))
+
+    def of(attrs: Column) -> Column:
+        first = F.array_position(F.transform(attrs, lambda a: html.attribute_name(a) == html.url_attribute(tag)), True).cast("int")
+        return let(F.struct(attrs.alias("attrs"), first.alias("first")), lambda f: F.when(f["first"] > 0, replaced(f)).otherwise(token))
+
+    return let(html.attributes(token), of)

@@ -121,6 +121,12 @@ ORACLES = {
       UNION ALL SELECT page_id, held + CASE n WHEN 4 THEN 4 ELSE n END, save_path FROM more JOIN sizes USING (page_id)""",
     "save_collisions": f"WITH {_PAGES} SELECT host, save_path, count(*) AS n FROM s GROUP BY host, save_path HAVING count(*) > 1",
     "saved_pages": f"WITH {_PAGES} SELECT max(page_id) AS page_id, host, save_path FROM s GROUP BY host, save_path",
+    "colliding_paths": "SELECT 'site.example' AS host, '/p/' || (page_id // 40) || '.html' AS save_path, count(*) AS n FROM pages GROUP BY ALL HAVING count(*) > 1",
+    "colliding_winners": "SELECT max(page_id) AS page_id, 'site.example' AS host, '/p/' || (page_id // 40) || '.html' AS save_path FROM pages GROUP BY page_id // 40",
+    "saved_files": "SELECT (page_id // 40) || '.html' AS name, max_by(octet_length(encode(html)), page_id) AS n_bytes, max_by(md5(html), page_id) AS md5, CAST(NULL AS VARCHAR) AS skipped_on FROM pages GROUP BY page_id // 40",
+    "fetch_errors": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'cancelled' WHEN event_id % 13 = 0 THEN 'http'
+      WHEN [200, 204, 301, 404, 500][event_id % 5 + 1] <> 200 THEN 'status' END AS error FROM events""",
+    "asset_occurrences": f"WITH {_PAGES}, {_ADDED} SELECT scheme || '://' || host || target AS asset_url, page_id, count(*) AS k FROM added WHERE tag <> 'a' GROUP BY 1, 2",
     "relative_links": f"WITH {_PAGES}, {_LINKS} SELECT page_id, pos, {_REL} AS rel_url FROM k",
     "asset_rows": f"WITH {_PAGES}, {_ADDED} SELECT page_id, tag, kind AS asset_kind, scheme || '://' || host || target AS asset_url, saved AS save_path FROM added WHERE tag <> 'a'",
     "asset_url_map": f"""WITH {_PAGES}, {_ADDED} SELECT scheme || '://' || host || target AS asset_url, count(*) AS n, string_agg(page_id, ',' ORDER BY page_id) AS page_ids

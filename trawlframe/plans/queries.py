@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import html, paths, urls
 from ..operators import extract, fetch, frontier, metrics, retry, saving
 from ..session import spread, table
-from ..sources import tables
-from ..storage import materialize
+from ..sources import sinks, tables
+from ..storage import materialize, scratch
 from ..streaming import stream
 
 #: Page limit and size limit of the queries that have one as their feature.
@@ -87,6 +87,36 @@ def asset_rows(spark, sf_dir):
     return found.select("page_id", "tag", "asset_kind", "asset_url", saving.asset_path(F.col("abs")).alias("save_path"))
 
 
+def colliding_paths(spark, sf_dir):
+    return saving.collisions(tables.versioned_pages(spark, sf_dir))
+
+
+def colliding_winners(spark, sf_dir):
+    placed = saving.with_page_path(tables.versioned_pages(spark, sf_dir)).withColumn("host", urls.parts(F.col("url"))["host"])
+    return saving.last_writers(placed.select("page_id", "host", "save_path"), "page_id")
+
+
+def saved_files(spark, sf_dir):
+    """Writes the pages as files and reads what then lies there."""
+    folder = scratch(spark, "saved-files")
+    placed = saving.with_page_path(tables.versioned_pages(spark, sf_dir)).withColumn("host", urls.parts(F.col("url"))["host"])
+    done = sinks.save_files(placed.select("host", "save_path", F.col("html").alias("content"), "page_id"), folder, "page_id")
+    done = materialize(done, "saved")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = there.select(F.substring_index("path", "/p/", -1).alias("name"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
+    return found.join(done.select(F.substring_index("save_path", "/p/", -1).alias("name"), "skipped_on"), "name", "left")
+
+
+def fetch_errors(spark, sf_dir):
+    tries = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 13 != 0, F.element_at(F.array(*map(F.lit, (200, 204, 301, 404, 500))), (F.col("event_id") % 5 + 1).cast("int")))
+    return tries.select("event_id", fetch.error_class(status, F.col("event_id") % 17 == 0).alias("error"))
+
+
+def asset_occurrences(spark, sf_dir):
+    return extract.occurrences(extract.assets(tables.asset_pages(spark, sf_dir)))
+
+
 def asset_url_map(spark, sf_dir):
     return extract.occurrences_by_url(extract.assets(tables.asset_pages(spark, sf_dir)))
 
@@ -192,5 +222,5 @@ def stream_frontier(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_resources, resource_attributes, resource_counts, url_parts, page_links, external_refs_dropped, resolve_refs, page_save_path, link_save_path, save_collisions, saved_pages, relative_links, asset_rows, asset_url_map, page_children, seen_dedup, frontier_limit, crawl_bfs, crawl_bfs_limited, fetch_left_join, size_guard, fanin_union, crawl_stats, crawl_stats_by_user, stats_line, retry_schedule, retry_outcome, rewrite_map, rewrite_html, stream_page_links, stream_seen_dedup, stream_stats, stream_frontier)
+    for f in (page_resources, resource_attributes, resource_counts, url_parts, page_links, external_refs_dropped, resolve_refs, page_save_path, link_save_path, save_collisions, saved_pages, colliding_paths, colliding_winners, saved_files, fetch_errors, asset_occurrences, relative_links, asset_rows, asset_url_map, page_children, seen_dedup, frontier_limit, crawl_bfs, crawl_bfs_limited, fetch_left_join, size_guard, fanin_union, crawl_stats, crawl_stats_by_user, stats_line, retry_schedule, retry_outcome, rewrite_map, rewrite_html, stream_page_links, stream_seen_dedup, stream_stats, stream_frontier)
 }

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.retry import RetryConfig, retry
 
 #: Fixed defaults of the client.
-TIMEOUT, USER_AGENT = 30.0, "Mozilla/5.0 (Linux; Android 10; K) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Mobile Safari/537.36"
+TIMEOUT, USER_AGENT = 30.0, "Mozilla/5.0 (Linux; Android 8.0.0; SM-G955U Build/R16NW)"
 MAX_FILE_SIZE = 64 << 20
 SCHEMA = "url string, status int, content binary, skipped_on string, error string"
 

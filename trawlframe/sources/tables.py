@@ -21,6 +21,13 @@ def asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages")).withColumn("html", F.concat("html", extra))
 
 
+def versioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages of one host under addresses that differ in their queries: forty of them are saved at each path."""
+    n = 40
+    url = F.concat(F.lit("https://site.example/p/"), (F.col("page_id") / n).cast("long").cast("string"), F.lit("?v="), F.col("page_id").cast("string"))
+    return spread(table(spark, sf_dir, "pages")).withColumn("url", url)
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One host whose pages link to each other in cycles."""
     pages = table(spark, sf_dir, "pages").select("page_id")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, frontier, metrics
 from ..sources.tables import log_of
-from ..storage import shared_dir
+from ..storage import Batches, discard, materialize, scratch
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -22,16 +22,34 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str) -> Iterator[None]:
+    """Queries that start inside keep their state in that store; the session's setting is as before afterwards."""
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Append the stream's rows to files until what is there is used up, and read them back."""
+    """Append the stream's rows to files until what is there is used up, and read them back. State, if any, is kept in RocksDB."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/trawlframe/{name}-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    path = scratch(spark, name)
+    with state_store(spark, ROCKS_DB):
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def drain_by_batch(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str) -> None:
-    path = f"{shared_dir(stream.sparkSession)}/trawlframe/{name}-{uuid.uuid4().hex}"
+def drain_by_batch(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str, path: str | None = None) -> None:
+    """Hand each micro-batch to `each`; with a path of an earlier run, from where that one stopped."""
+    path = path or scratch(stream.sparkSession, name)
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -41,8 +59,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def seen_dedup(urls: DataFrame) -> DataFrame:
-    """Each URL of a stream once, ever: the state grows with the number of different URLs and is kept in RocksDB."""
-    urls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Each URL of a stream once, ever: the state grows with the number of different URLs, so start the query with state_store(RocksDB), as drain() does."""
     return urls.select("url").dropDuplicates(["url"])
 
 
@@ -54,34 +71,34 @@ def running_stats(events: DataFrame, keep: Callable[[DataFrame], None]) -> None:
 class StreamFrontier:
     """A frontier over micro-batches: a URL is accepted once, pages up to a limit; accepted and seen URLs are files.
 
-    Each batch's files carry its number and are overwritten when a failed batch is run again, so that a restart changes nothing.
+    Each batch's files carry its number and are overwritten when a failed batch is run again. With the path of an earlier
+    frontier, its checkpoint included, a new one goes on where that one stopped.
     """
 
-    def __init__(self, spark: SparkSession, limit: int):
-        self.spark, self.limit = spark, limit
-        self.path = f"{shared_dir(spark)}/trawlframe/frontier-{uuid.uuid4().hex}"
+    ACCEPTED = "url string, kind string, ord long"
 
-    def _before(self, kind: str, batch: int, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{i}" for i in range(batch)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, limit: int, path: str | None = None):
+        self.spark, self.limit = spark, limit
+        self.path = path or scratch(spark, "frontier")
+        self.seen = Batches(spark, "seen", "url string", f"{self.path}/seen")
+        self.accepted = Batches(spark, "accepted", self.ACCEPTED, f"{self.path}/accepted")
 
     def accept(self, items: DataFrame, batch: int) -> None:
         """items: url, kind, ord."""
-        new = frontier.unseen(frontier.first_of_each(items, "url", ["ord"]), self._before("seen", batch, "url string"))
-        new.select("url").write.mode("overwrite").parquet(f"{self.path}/seen/{batch}")
-        left = self.limit - self._before("accepted", batch, "url string, kind string, ord long").filter("kind = 'page'").count()
+        new = frontier.unseen(frontier.first_of_each(items, "url", ["ord"]), self.seen.upto(batch))
+        new = materialize(new, "new-urls")
+        left = self.limit - self.accepted.upto(batch).filter("kind = 'page'").count()
         pages = new.filter("kind = 'page'").orderBy("ord").limit(max(left, 0))
-        pages.unionByName(new.filter("kind <> 'page'")).select("url", "kind", "ord").write.mode("overwrite").parquet(f"{self.path}/accepted/{batch}")
+        self.accepted.put(pages.unionByName(new.filter("kind <> 'page'")).select("url", "kind", "ord"), batch)
+        self.seen.put(new.select("url"), batch)
+        discard(new)
 
     def run(self, items: DataFrame) -> DataFrame:
-        last = {"n": 0}
-
-        def each(batch: DataFrame, number: int) -> None:
-            self.accept(batch, number)
-            last["n"] = number + 1
-
-        drain_by_batch(items, "stream-frontier", each, "append")
-        return self._before("accepted", last["n"], "url string, kind string, ord long")
+        """All that was accepted up to the end of this run."""
+        drain_by_batch(items, "stream-frontier", self.accept, "append", f"{self.path}/run")
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/accepted")
+        there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return self.accepted.upto(10**9) if there else self.accepted.upto(0)
 
 
 def urls_of(pages: DataFrame) -> DataFrame:
