@@ -268,8 +268,60 @@ def test_base_counts_match_brute_force():
 
 
 def test_distance():
-    p, q = np.array([1.0, 0]), np.array([0, 3.0])
-    assert quality_rules.js_distance(p, q) == 1 and quality_rules.js_distance(p, 5 * p) == 0 and quality_rules.js_distance(p, 0 * q) == 0
+    p, q = np.array([[1.0, 0], [5.0, 0], [0.0, 0], [0, 2.0]]), np.array([0, 3.0])
+    assert quality_rules.js_distances(p, q).tolist() == [1, 1, 0, 0] and quality_rules.js_distances(p, 0 * q).tolist() == [0] * 4
+
+
+def brute_distance(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    d = sum(a * math.log2(2 * a / (a + b)) for a, b in zip(p, q) if a) + sum(b * math.log2(2 * b / (a + b)) for a, b in zip(p, q) if b)
+    return math.sqrt(max(d / 2, 0))
+
+
+def test_distances_and_verdicts_match_brute_force(spark, monkeypatch):
+    """References from whole lists of words, without parts, candidates or batches; a language with few documents has none."""
+    monkeypatch.setattr(quality_rules, "COMMON_SHARE", 0.02)
+    monkeypatch.setattr(quality_rules, "HELD_WORDS", 30)
+    rng = random.Random(11)
+    pool = {"aa": ["the", "of", "And", "to", *speech(rng, "abc", 40).split()], "bb": ["le", "la", "ÉT", *speech(rng, "xyz", 40).split()]}
+    rows = []
+    for i in range(160):
+        lang = "aa" if i % 2 else "bb"
+        n = rng.choice([0, 20, 60, 90])
+        rows.append((i, " ".join(rng.choice(pool[lang][: rng.choice([4, 44])]) for _ in range(n)), rng.choice([lang] * 9 + [None]), "s"))
+    rows += [(200 + i, " ".join(speech(rng, "pqr", 60).split()), "rare", "s") for i in range(5)]
+    found = quality_rules.judge(documents(spark, rows).repartition(3)).toPandas().set_index("doc_id")
+    assert found.columns.tolist() == ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+    refs = {}
+    for lang in ("aa", "bb"):
+        own = [t for _, t, x, _ in rows if x == lang and t]
+        good = [t for t in own if (c := brute_counts(t))[0] >= 50 and 100 * c[4] <= 50 * c[0]]
+        share, reference, classes = {}, {}, np.zeros(11)
+        for texts, into in ((own, share), (good, reference)):
+            for t in texts:
+                words = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+                for w in words:
+                    into[w] = into.get(w, 0) + 1 / len(words) / len(texts)
+        for t in good:
+            classes += quality_rules.char_histogram(t.encode()) / len(t.encode())
+        common = sorted(w for w in share if share[w] >= 0.02)
+        if len(good) >= quality_rules.LEAST_DOCS:
+            refs[lang] = (classes, common, [reference.get(w, 0) for w in common])
+    for i, text, lang, _ in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        each = []
+        for name, (classes, common, weights) in refs.items():
+            if lang == name or lang not in refs:
+                own = [words.count(w) for w in common]
+                each.append((brute_distance(quality_rules.char_histogram(text.encode()).tolist(), classes.tolist()), brute_distance([*own, len(words) - sum(own)], [*weights, 1 - sum(weights)])))
+        want = min(each, key=max, default=(0, 0))
+        row = found.loc[i]
+        assert abs(row.char_distance - want[0]) < 1e-4 and abs(row.word_distance - want[1]) < 1e-4
+        failed = len(words) < 50 or 100 * brute_counts(text)[4] > 50 * len(words)
+        bad = (len(text.encode()) >= quality_rules.MIN_BYTES and want[0] > quality_rules.MAX_CHAR_DISTANCE) or (len(words) >= quality_rules.MIN_WORDS and want[1] > quality_rules.MAX_WORD_DISTANCE)
+        assert row.base_failed == failed and row.kept == (not failed and not bad)
 
 
 def test_quality_rules(spark, tmp_path):

@@ -54,6 +54,7 @@ def test_matches_brute_force(spark, tmp_path, threshold):
 def test_crowded_segments_match_brute_force(spark, monkeypatch):
     """Groups of two are split again, down to the last level."""
     monkeypatch.setattr(line_dedup, "LEVELS", 4)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
     lines = sorted(set(variants(5, 150)))
     frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
     found = {(r.a, r.b) for r in line_dedup.pairs(frame, 2, hot=2).collect()}
@@ -61,6 +62,14 @@ def test_crowded_segments_match_brute_force(spark, monkeypatch):
     assert near and near <= found
 
 
+def test_the_filter_keeps_every_wanted_line(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) as id", "id as n")
+    wanted = line_dedup.materialize(rows.filter("n % 50 = 0").select("id"), "wanted")
+    found = line_dedup.likely(rows, wanted).collect()
+    assert {r.n for r in found} >= set(range(0, 5000, 50)) and len(found) < 1000
+    assert line_dedup.likely(rows, wanted.limit(0)).count() == 0
+
+
 def test_two_lines_of_a_million_characters(spark):
     line = "".join(random.Random(6).choices("abcdefgh ", k=1_000_000))
     texts = [line, line[:400_000] + "X" + line[400_001:700_000] + line[700_001:], line[:300_000] + "YYY" + line[300_000:], line[::-1]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard
 from .common import materialize
 
 
@@ -18,12 +19,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).filter("u <> v")
     both = materialize(both, "links")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
+    written = labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "labels")
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("m"))
         hooked = materialize(labels.join(near, labels["node"] == near["u"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was")), "hooked")
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = materialize(hooked.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("was")).alias("moved")), "labels")
-        labels = jumped.select("node", "root")
+        discard(written, hooked)
+        written, labels = jumped, jumped.select("node", "root")
         if jumped.filter("moved").isEmpty():
+            discard(both)
             return labels

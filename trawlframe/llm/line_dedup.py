@@ -5,8 +5,8 @@ classes of about the same length. Each line is indexed by threshold + 1 segments
 from its start, the others from its end, and probes the index of its class, and of the class below if a line that short may be alike, with
 the substrings that an alike line's segments can have moved to: if at most `threshold` edits part two lines, one segment is free of them and has no more
 edits on either side than there are other segments. Lines that share a segment are split again by segments of what is left of them;
-groups of up to HOT lines that agree on two segments or more list their pairs, larger ones go on for up to LEVELS levels. Every listed
-pair is verified by a banded bit-parallel edit distance, and what was verified is counted as links and joined to classes.
+groups of up to HOT lines that agree on two segments or more list their pairs, without those that differ in too many blocks; larger ones go on for up to
+LEVELS levels. Every listed pair is verified by a banded bit-parallel edit distance, and what was verified is counted as links and joined to classes.
 
 Every line with a word takes part; lines of fewer than MIN_CHARS characters only as equal ones, as an edit is much of a short line. Of a
 class the occurrence with the smallest doc_id stays (then the first row, then the first line), all others go. Lines end at \\n; null
@@ -28,7 +28,11 @@ from .components import connected_components
 
 THRESHOLD, MIN_CHARS = 2, 40
 #: Pairs are listed in groups of up to HOT lines; larger groups are split, LEVELS times in all (a group of the last level is listed whatever its size).
-HOT, LEVELS = 32, 6
+HOT, LEVELS = 512, 6
+#: In groups of more than FEW lines, blocks are compared before a pair is listed.
+FEW, BLOCKS = 8, 16
+#: Bits of the filter for lines that are worth a shuffle: so many a line, but never more than MAX_BITS in all (32 MB).
+BITS_EACH, MAX_BITS = 16, 1 << 28
 
 
 def lines_of(docs: DataFrame, uid: str) -> DataFrame:
@@ -94,6 +98,18 @@ def candidates(rows: DataFrame) -> DataFrame:
     return keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is, or by chance may be, in the written table wanted (id): a bitmap of bounded size goes to all tasks, so that few rows are left to join."""
+    n = wanted.count()
+    bits = min(max(1 << (BITS_EACH * n).bit_length(), 1 << 15), MAX_BITS)
+    place = lambda: F.pmod(F.col("id"), F.lit(bits))
+    bitmap = wanted.select(place().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    at = F.bitmap_bit_position(F.col("at"))
+    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("at", place()).withColumn("bucket", F.bitmap_bucket_number("at")).join(F.broadcast(bitmap), "bucket")
+    return met.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def parted(rows: DataFrame, threshold: int) -> DataFrame:
     """(key, id, own, n, rest) of rows (key, id, rest) under each segment that another row of the same key shares; rest is without the segment."""
 
@@ -106,20 +122,43 @@ def parted(rows: DataFrame, threshold: int) -> DataFrame:
     return each.join(shared, F.col("e.key") == F.col("key")).select("key", "id", "e.own", "n", rest.alias("rest"))
 
 
+def blocks(text: str, threshold: int) -> list[Column]:
+    """Of a `sized` text: hashes of BLOCKS blocks of its class, and for each block those of all substrings that it can have moved to in an alike text."""
+    width = F.floor(F.col("__c") / BLOCKS).cast("int")
+
+    def at(i: int, shift: int) -> Column:
+        return F.hash(F.substring(F.col(text), F.greatest(F.lit(i) * width + shift, F.lit(0)) + 1, width))
+
+    return [F.array(*[at(i, 0) for i in range(BLOCKS)]), F.array(*[F.array(*[at(i, shift) for shift in range(-threshold, threshold + 1)]) for i in range(BLOCKS)])]
+
+
+def listed(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b, of the rows (key, id, own, n, rest) that share a key and may be alike.
+
+    In groups of more than FEW rows a pair has to agree on all but `threshold` blocks of what is left; that is looked at inside the join, so that no other pair leaves it.
+    """
+    held, moved = blocks("rest", threshold)
+    many = F.col("n") > FEW
+    sides = sized(members, "rest", threshold).select("key", "id", "own", "__n", "__c", F.when(many, held).alias("held"), F.when(many, moved).alias("moved"))
+    x, y = sides.alias("x"), sides.alias("y")
+    lost = F.size(F.filter(F.zip_with("x.held", "y.moved", lambda h, m: F.array_contains(m, h)), lambda found: ~found))
+    near = F.col("x.held").isNull() | F.col("y.held").isNull() | (F.col("x.__c") != F.col("y.__c")) | (lost <= threshold)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ((F.col("x.own") == 1) | (F.col("y.own") == 1))
+    return x.join(y, same & (F.abs(F.col("x.__n") - F.col("y.__n")) <= threshold) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def pairs(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: every pair of different lines (id, line) that may be alike, listed segment by segment."""
-    rows, listed = lines.select(F.lit(0).cast("long").alias("key"), "id", F.col("line").alias("rest")), []
+    rows, found = lines.select(F.lit(0).cast("long").alias("key"), "id", F.col("line").alias("rest")), []
     for level in range(1, LEVELS + 1):
-        found = materialize(parted(rows, threshold), "line-groups")
+        groups = materialize(parted(rows, threshold), "line-groups")
         small = F.lit(level > 1) & (F.lit(level == LEVELS) | (F.col("n") <= hot))
-        members = found.filter(small).select("key", "id", "own")
-        other = members.select("key", F.col("id").alias("b"), F.col("own").alias("of"))
         if level > 1:
-            listed.append(members.withColumnRenamed("id", "a").join(other, "key").filter("a < b and (own = 1 or of = 1)").select("a", "b"))
-        rows = found.filter(~small).select("key", "id", "rest").distinct()
+            found.append(materialize(listed(groups.filter(small), threshold), "line-pairs"))
+        rows = groups.filter(~small).select("key", "id", "rest").distinct()
         if level > 1 and rows.isEmpty():
             break
-    return reduce(DataFrame.union, listed).distinct()
+    return reduce(DataFrame.union, found).distinct()
 
 
 def shared_length(x: Column, y: Column, part) -> Column:
@@ -182,7 +221,7 @@ def links(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): SHA-256s of every two different lines (sha, line) that are alike, each verified, in one direction."""
     numbered_lines = materialize(lines.select("sha", "line", F.xxhash64("sha").alias("id")), "candidate-texts")
     of = lambda id_, sha_, line: numbered_lines.select(F.col("id").alias(id_), F.col("sha").alias(sha_), F.col("line").alias(line))
-    near = materialize(pairs(numbered_lines.select("id", "line"), threshold), "line-pairs")
+    near = materialize(pairs(numbered_lines.select("id", "line"), threshold), "near-lines")
     both = near.join(of("a", "sha_a", "x"), "a").join(of("b", "sha_b", "y"), "b")
     return both.filter(within(F.col("x"), F.col("y"), threshold)).select(F.col("sha_a").alias("a"), F.col("sha_b").alias("b"))
 
@@ -191,7 +230,7 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str, threshold: int) ->
     """sha, first_doc, first_uid, first_pos and n_links of every line whose class occurs more than once."""
     wanted = materialize(candidates(rows), "candidate-lines")
     texts = lines_of(docs, uid).filter(F.char_length("line") >= MIN_CHARS).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
-    lines = texts.join(wanted, "id", "left_semi").groupBy("sha").agg(F.any_value("line").alias("line"))
+    lines = likely(texts, wanted).join(wanted, "id", "left_semi").groupBy("sha").agg(F.any_value("line").alias("line"))
     edges = materialize(links(lines, threshold), "line-links")
     counts = edges.select(F.col("a").alias("sha")).union(edges.select("b")).groupBy("sha").agg(F.count(F.lit(1)).alias("n_links"))
     roots = connected_components(edges).withColumnRenamed("node", "sha")

@@ -1,14 +1,16 @@
 """Personal data, and terms that reveal it, by information-theoretic sanitisation (DataFrame functions only).
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Each different value is a protected entity.
-The words of the documents that hold an entity are held against it: with document frequencies over the whole corpus, the pointwise
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. A run of key characters with a digit and a letter is a secret, if its
+own information (length times the entropy of its characters) is SECRET_BITS or more and a character's SECRET_ENTROPY. Each different value is a
+protected entity. The words of the documents that hold an entity are held against it: with document frequencies over the whole corpus, the pointwise
 mutual information of word and entity, as a share of the entity's information content, is what the word discloses. From
 MAX_DISCLOSURE on, and if the two meet in documents of MIN_CONTEXTS different contexts, the word is a span of kind term wherever it
-stands in a document that holds the entity, and is generalised with the rest. The context of a document is the set of its words, so that
-copies of a text are one context.
+stands in a document that holds the entity: it is generalised, and from REMOVE_DISCLOSURE on removed. The context of a document is the set of its words,
+so that copies of a text are one context; a single context is no evidence, as every rare word of it would disclose everything.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Rows that share a doc_id are separate rows (and
-separate documents in the frequencies). An entity that every document holds has no information to disclose.
+separate documents in the frequencies). An entity that every document holds has no information to disclose. A secret that overlaps a base span is
+none, and neither is a term that overlaps a base span or a secret. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -19,19 +21,32 @@ from pyspark.sql import functions as F
 from ..session import table
 from .common import materialize, numbered
 
-KINDS = ("email", "ip", "card", "phone", "term")
-#: The contract's patterns, with possessive repeats and anchors at the beginning of a run: the same matches in linear time.
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+SECRET, TERM_KIND = 4, 5
+#: The contract's patterns, with possessive repeats and anchors at the beginning of a run: the same matches in linear time. Then that of secrets.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
 }
 #: What a text must contain for the pattern to be worth a try.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){13}", "phone": r"\+[0-9]"}
-#: A word that may disclose.
-TERM = r"\p{L}{4,}"
-MIN_CONTEXTS, MAX_DISCLOSURE = 2, 0.5
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){13}", "phone": r"\+[0-9]", "secret": PATTERNS["secret"]}
+#: Bits that a secret holds at least, in all and a character.
+SECRET_BITS, SECRET_ENTROPY = 64.0, 3.0
+#: A word that may disclose: letters and digits, two or more.
+TERM = r"[\p{L}\p{N}]{2,}+"
+MIN_CONTEXTS, MAX_DISCLOSURE, REMOVE_DISCLOSURE = 2, 0.5, 0.95
+#: Up to so many terms are sent to all tasks, which then count no others; more are joined.
+FEW_TERMS = 200_000
+
+
+def information(value: Column) -> Column:
+    """Bits a character: the entropy of the characters of a non-empty text."""
+    n = F.length(value)
+    share = F.transform(F.array_distinct(F.split(value, "")), lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n)
+    return F.aggregate(share, F.lit(0.0), lambda total, p: total - p * F.log2(p))
 
 
 def luhn(digits: Column) -> Column:
@@ -48,14 +63,17 @@ def valid(kind: Column, value: Column) -> Column:
     n = F.length(digits)
     part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
     address = value.rlike(f"^{part}(?:\\.{part}){{3}}$")
-    return F.when(kind == 1, address).when(kind == 2, F.when(n.between(14, 19), luhn(digits)).otherwise(F.lit(False))).when(kind == 3, n.between(10, 15)).otherwise(F.lit(True))
+    bits = information(value)
+    secret = value.rlike("[A-Za-z]") & (bits >= SECRET_ENTROPY) & (bits * F.length(value) >= SECRET_BITS)
+    card = F.when(n.between(14, 19), luhn(digits)).otherwise(F.lit(False))
+    return F.when(kind == 1, address).when(kind == 2, card).when(kind == 3, n.between(10, 15)).when(kind == SECRET, secret).otherwise(F.lit(True))
 
 
-def base_spans(docs: DataFrame, uid: str) -> DataFrame:
-    """uid, doc_id, kind (its place in KINDS), start, end and value."""
+def protected_spans(docs: DataFrame, uid: str) -> DataFrame:
+    """uid, doc_id, kind (its place in KINDS), start, end and value of base spans and secrets."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
-    for k, name in enumerate(KINDS[:-1]):
+    for k, name in enumerate(KINDS[:TERM_KIND]):
         hit = F.instr(text, "@") > 0 if name == "email" else text.rlike(GUARDS[name])
         gaps = F.split(text, PATTERNS[name], -1)
         # gaps and matches take turns, from gap to gap: only the lengths of gaps are kept
@@ -74,9 +92,16 @@ def words_of(text: str = "text") -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) over all whole documents; words are made distinct inside a document and summed before the shuffle."""
-    return docs.select(F.explode(words_of()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequencies(docs: DataFrame, wanted: DataFrame, few: int = FEW_TERMS) -> DataFrame:
+    """(term, df) over all whole documents for the written terms `wanted`; words are made distinct inside a document and summed before the shuffle.
+
+    Where those are few enough to be sent to all tasks, no other word is counted; else all words are, and joined.
+    """
+    words = docs.select(F.explode(words_of()).alias("term"))
+    if wanted.count() <= few:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+        return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term", "left_semi")
 
 
 def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFrame:
@@ -88,25 +113,26 @@ def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFram
     return each.groupBy(*by).agg(F.sum("count").alias(name), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_contexts).drop("k")
 
 
-def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(uid, term) of the documents (uid, entity) that hold an entity and the terms that disclose it beyond the threshold, each once."""
+def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS, few: int = FEW_TERMS) -> DataFrame:
+    """(uid, term, disclosure) of the documents (uid, entity) that hold an entity and the terms that disclose it beyond the threshold, each once."""
     entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_contexts)
     held = materialize(held.join(entities, "entity"), "recurring-entities")
     those = materialize(held.select("uid").distinct(), "documents-with-entities")  # small, so that no text is shuffled
     own = docs.select(F.col(uid).alias("uid"), "text").join(those, "uid", "left_semi")
     sets = own.select("uid", words_of().alias("words")).withColumn("context", F.xxhash64(F.array_sort("words")))
     words = materialize(sets.select("uid", "context", F.explode("words").alias("term")), "words-with-entities")
-    pairs = several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts)
-    known = materialize(pairs, "entity-terms").join(document_frequencies(docs), "term")
+    pairs = materialize(several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts), "entity-terms")
+    wanted = materialize(pairs.select("term").distinct(), "terms-with-entities")
+    known = pairs.join(document_frequencies(docs, wanted, few), "term")
     n = F.lit(float(n_docs))
     pmi = F.log2(F.col("both") * n / (F.col("held") * F.col("df")))
     known = known.withColumn("disclosure", F.try_divide(pmi, F.log2(n / F.col("held"))))
-    hits = materialize(known.filter(F.col("disclosure") >= max_disclosure).select("entity", "term"), "disclosing-terms")
-    return held.select("uid", "entity").join(hits, "entity").select("uid", "term").distinct()
+    hits = materialize(known.filter(F.col("disclosure") >= max_disclosure).select("entity", "term", "disclosure"), "disclosing-terms")
+    return held.select("uid", "entity").join(hits, "entity").groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def places(docs: DataFrame, uid: str, terms: DataFrame) -> DataFrame:
-    """uid, start and end of every occurrence of a document's terms (uid, term) in it."""
+    """uid, start, end and disclosure of every occurrence of a document's terms (uid, term, disclosure) in it."""
     those = materialize(terms.select("uid").distinct(), "documents-with-terms")
     own = docs.select(F.col(uid).alias("uid"), "text").join(those, "uid", "left_semi")
     gaps = F.transform(F.split("text", TERM, -1), F.length)
@@ -115,24 +141,28 @@ def places(docs: DataFrame, uid: str, terms: DataFrame) -> DataFrame:
     rows = split.select("uid", F.explode(entry).alias("m")).select("uid", "m.*")
     end = F.sum(F.col("n") + F.col("long")).over(Window.partitionBy("uid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.select("uid", "term", (end - F.col("long")).alias("start"), end.alias("end"))
-    return placed.join(terms, ["uid", "term"], "left_semi").select("uid", "start", "end")
+    return placed.join(terms, ["uid", "term"]).select("uid", "start", "end", "disclosure")
 
 
 def find(docs: DataFrame, uid: str) -> DataFrame:
-    """All spans: uid, kind, start, end, each once; a term that overlaps a base span is none."""
-    base = materialize(base_spans(docs, uid), "base-spans")
-    held = materialize(base.select("uid", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "entities")
+    """All spans: uid, kind, start, end and whether the span is to be removed, each once, overlaps included."""
+    own = materialize(protected_spans(docs, uid), "protected-spans")
+    held = materialize(own.select("uid", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "entities")
     terms = materialize(disclosing(docs, uid, held, docs.count()), "document-terms")
-    term = places(docs, uid, terms).select("uid", F.lit(4).alias("kind"), "start", "end")
-    return base.select("uid", "kind", "start", "end").union(term)
+    term = places(docs, uid, terms).select("uid", F.lit(TERM_KIND).alias("kind"), "start", "end", (F.col("disclosure") >= REMOVE_DISCLOSURE).alias("gone"))
+    return own.select("uid", "kind", "start", "end", F.lit(False).alias("gone")).union(term)
 
 
 def by_document(docs: DataFrame, uid: str) -> DataFrame:
-    """uid and spans, the sorted array of (start, kind, end), of each document that has any; as many as its text holds."""
-    found = find(docs, uid).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
-    base = F.filter("all", lambda s: s["kind"] < 4)
-    clear = F.filter("all", lambda s: (s["kind"] < 4) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("base", base).select("uid", clear.alias("spans"))
+    """uid and spans, the sorted array of (start, kind, end, gone), of each document that has any; as many as its text holds."""
+    found = find(docs, uid).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "gone"))).alias("all"))
+
+    def clear(s: Column, of: Column) -> Column:
+        return ~F.exists(of, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    found = found.withColumn("base", F.filter("all", lambda s: s["kind"] < SECRET))
+    found = found.withColumn("sure", F.filter("all", lambda s: (s["kind"] < SECRET) | ((s["kind"] == SECRET) & clear(s, F.col("base")))))
+    return found.select("uid", F.array_sort(F.concat("sure", F.filter("all", lambda s: (s["kind"] == TERM_KIND) & clear(s, F.col("sure"))))).alias("spans"))
 
 
 def told(spans: Column) -> Column:
@@ -141,30 +171,47 @@ def told(spans: Column) -> Column:
 
 
 def sanitized(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; of overlapping spans the first one counts."""
+    """docs with every span generalised or removed; spans that overlap are one, of the first one's kind.
+
+    Base spans and secrets become their kind in brackets. A term becomes [NUMBER], [NAME] (with a capital) or [WORD]; one that discloses REMOVE_DISCLOSURE or more goes.
+    """
     name = "__row_of_pii"
     own = numbered(docs, name)
-    spans = by_document(own, name).select(F.col("uid").alias(name), F.col("spans").alias("__spans"))
-
-    def cut(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), state["at"] + 1, (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]"))
-        new = F.struct(s["end"].cast("int").alias("at"), F.concat(state["l"], F.array(piece)).alias("l"))
-        return F.when(s["start"] < state["at"], state).otherwise(new)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("l"))
-    joined = own.join(spans, name, "left").withColumn("__cut", F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", start, cut)))
-    text = F.when(F.col("__cut").isNotNull(), F.concat(F.array_join("__cut.l", ""), F.substring(F.col("text"), F.col("__cut.at") + 1, F.length("text")))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    rows = by_document(own, name).select("uid", F.explode("spans").alias("s")).select("uid", "s.*")
+    order = Window.partitionBy("uid").orderBy("start", "kind")
+    opens = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = rows.withColumn("opens", opens).withColumn("group", F.sum(F.col("opens").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = grouped.groupBy("uid", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "kind", "gone")).alias("first"))
+    entry = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("first.kind").alias("kind"), F.col("first.gone").alias("gone"))
+    spans = merged.groupBy("uid").agg(F.array_sort(F.collect_list(entry)).alias("__spans")).withColumnRenamed("uid", name)
+    text = F.col("text")
+
+    def tag(s: Column) -> Column:
+        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        general = F.when(word.rlike(r"^\p{N}+$"), "[NUMBER]").when(word.rlike(r"\p{Lu}"), "[NAME]").otherwise("[WORD]")
+        kind = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]"))
+        return F.when(s["gone"], "").when(s["kind"] == TERM_KIND, general).otherwise(kind)
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+        return F.concat(F.substring(text, before + 1, s["start"] - before), tag(s))
+
+    tail = F.substring(text, F.element_at("__spans", -1)["end"] + 1, F.length(text))
+    joined = own.join(spans, name, "left")
+    new = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(F.transform("__spans", piece), ""), tail)).otherwise(text)
+    return joined.withColumn("text", new).select(*docs.columns)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "__row")
     found = by_document(docs, "__row").withColumnRenamed("uid", "__row")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start: bigint, kind: int, end: bigint, gone: boolean>>"))
     joined = docs.select("__row", "doc_id").join(found, "__row", "left").select("doc_id", spans.alias("s"))
 
-    def number(k: int) -> Column:
-        return F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    def number(name: str, of) -> Column:
+        return F.size(F.filter("s", of)).cast("long").alias(name)
 
-    base = F.filter("s", lambda x: x["kind"] < 4)
-    return joined.select("doc_id", *map(number, range(len(KINDS))), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("s")).alias("spans"))
+    counts = [number(f"n_{kind}", lambda x, k=k: x["kind"] == k) for k, kind in enumerate(KINDS)]
+    base = F.filter("s", lambda x: x["kind"] < SECRET)
+    more = [*counts[SECRET:], number("n_removed", lambda x: x["gone"]), F.size("s").cast("long").alias("n_spans")]
+    return joined.select("doc_id", *counts[:SECRET], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("s")).alias("spans"), *more)
