@@ -81,7 +81,7 @@ def test_copies_are_one_context(spark, tmp_path):
 
 
 def test_terms_far_from_the_entity_go_everywhere(spark):
-    filler = "Report number was written by somebody ordinary about matters rain snow wind heat " * 4
+    filler = "Report number so says on was written by somebody ordinary about matters rain snow wind heat " * 4
     rows = [f"{filler}{i}" for i in range(60)]
     rows += [f"Zaphodius on {x}. {filler} zaph@example.org {filler} So says zaphodius" for x in ("ships", "stars")]
     rows += ["Zaphodius without an address"]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir
+from ..storage import materialize, numbered, shared_dir
 
 __all__ = ["BLANKS", "WORD", "crc_mod", "materialize", "numbered", "sampled", "shared_dir"]
 
@@ -31,16 +30,3 @@ def sampled(df: DataFrame, by: str, bound: int | dict, seed: str) -> DataFrame:
         share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1.0, (bound[value] if isinstance(bound, dict) else bound) / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.filter(draw < share)
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the column `name`: a row identity that stays the same however often docs is read.
-
-    Rows of files are known by two numbers, 64 bits of their file's path and their place in it; anything else is written
-    once and then has files.
-    """
-    identity = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.withColumn(name, identity)
-    except AnalysisException:
-        return materialize(docs, "documents").withColumn(name, identity)

@@ -211,7 +211,10 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     def number(name: str, of) -> Column:
         return F.size(F.filter("s", of)).cast("long").alias(name)
 
-    counts = [number(f"n_{kind}", lambda x, k=k: x["kind"] == k) for k, kind in enumerate(KINDS)]
+    def of_kind(k: int):
+        return lambda x: x["kind"] == k
+
+    counts = [number(f"n_{kind}", of_kind(k)) for k, kind in enumerate(KINDS)]
     base = F.filter("s", lambda x: x["kind"] < SECRET)
     more = [*counts[SECRET:], number("n_removed", lambda x: x["gone"]), F.size("s").cast("long").alias("n_spans")]
     return joined.select("doc_id", *counts[:SECRET], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("s")).alias("spans"), *more)
