@@ -99,7 +99,10 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id is, or by chance may be, in the written table wanted (id): a bitmap of bounded size goes to all tasks, so that few rows are left to join."""
+    """The rows whose id is, or by chance may be, in the written table wanted (id): a bitmap of bounded size goes to all tasks, so that few rows are left to join.
+
+    Join them by an inner join: a semi join would be moved below the filter.
+    """
     n = wanted.count()
     bits = min(max(1 << (BITS_EACH * n).bit_length(), 1 << 15), MAX_BITS)
     place = lambda: F.pmod(F.col("id"), F.lit(bits))
@@ -230,7 +233,7 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str, threshold: int) ->
     """sha, first_doc, first_uid, first_pos and n_links of every line whose class occurs more than once."""
     wanted = materialize(candidates(rows), "candidate-lines")
     texts = lines_of(docs, uid).filter(F.char_length("line") >= MIN_CHARS).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
-    lines = likely(texts, wanted).join(wanted, "id", "left_semi").groupBy("sha").agg(F.any_value("line").alias("line"))
+    lines = likely(texts, wanted).join(wanted, "id").groupBy("sha").agg(F.any_value("line").alias("line"))
     edges = materialize(links(lines, threshold), "line-links")
     counts = edges.select(F.col("a").alias("sha")).union(edges.select("b")).groupBy("sha").agg(F.count(F.lit(1)).alias("n_links"))
     roots = connected_components(edges).withColumnRenamed("node", "sha")
