@@ -139,3 +139,17 @@ def test_components_of_a_long_path(spark):
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert all(roots[i] == 0 for i in range(61)) and {roots[i] for i in (100, 101, 102)} == {100}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_simhash_with_other_ids_repeats_and_long_texts(spark, tmp_path):
+    rows = [("b", "same words in a row"), ("a", "Same  words in a row"), ("a", "same words in a row"), (None, "same words in a row"), ("c", "w x y " * 60_000), ("d", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("fp", F.lit(1)).withColumn("key", F.lit(1))
+    found = simhash.op9_simhash(spark, written(docs, tmp_path)).collect()
+    assert sorted((r.doc_id or "", r.component_id) for r in found) == [("", "a"), ("a", "a"), ("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+    assert simhash.one_of_each(docs).count() == 3
+
+
+def test_repeated_doc_ids_match_sql(spark, tmp_path):
+    rows = [(1, "x y"), (1, "x  y"), (2, "x\ty"), (2, "z"), (2, "z"), (3, None), (4, "")]
+    documents(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    same(exact_dedup.op3_exact_dedup(spark, str(tmp_path)).toPandas(), duck(exact_dedup.ORACLE, tmp_path))

@@ -139,3 +139,20 @@ def test_one_doc_id_for_a_whole_source(spark, monkeypatch):
     uses = mixing.mix(documents(spark, rows), 1.0, 1.0).toPandas()
     hot = uses[uses["source"] == "hot"].sort_values(["start", "tokens"])
     assert hot["tokens"].sum() == sum(i % 9 for i in range(400)) and (hot["start"].to_numpy() == (hot["tokens"].cumsum() - hot["tokens"]).to_numpy()).all()
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_other_ids_repeats_and_clashing_columns(spark, kind):
+    rows = [(i % 3, "some words " * (i % 7)) for i in range(30)] + [(None, "w " * 100_000), (None, None)]
+    docs = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    for clash in ("row", "length", "piece", "ids", "rank", "part", "epoch", "order", "sub", "uid"):
+        docs = docs.withColumn(clash, F.lit("own"))
+    packed = packing.packed(docs, ids=False)
+    assert packed.schema["doc_id"].dataType.simpleString() == kind
+    found = packed.toPandas().sort_values(["sequence_id", "offset"])
+    sums = found.groupby("sequence_id")["length"]
+    assert (found["offset"] == sums.cumsum() - found["length"]).all() and sums.sum().max() <= 2048
+    assert found[found["doc_id"].isna()]["piece"].max() > 40 and len(found[found["piece"] == 0]) == 32
+    uses = mixing.mix(docs, 1.0, 1.0).toPandas()
+    assert uses["tokens"].sum() == 2 * sum(i % 7 for i in range(30)) + 100_000 and uses["tokens"].max() == 100_000
+    assert mixing.mixed(docs, 1.0, 1.0).columns == docs.columns

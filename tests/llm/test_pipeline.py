@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -64,9 +65,11 @@ def test_edited_copies_go(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(30), 101}
 
 
-def test_near_copies_match_brute_force(spark):
+@pytest.mark.parametrize("rows", [7, 4_096])
+def test_near_copies_match_brute_force(spark, rows, monkeypatch):
     import random
 
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", rows)
     rng = random.Random(8)
     texts = [speech(rng, LANGS["aa"], 80) for _ in range(6)]
     for _ in range(150):

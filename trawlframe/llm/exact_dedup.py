@@ -86,11 +86,11 @@ def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
+  SELECT doc_id, row_number() OVER () AS rn, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id,
        min(doc_id) OVER (PARTITION BY n) AS keep_id,
        count(*) OVER (PARTITION BY n) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY n) AS kept,
+       row_number() OVER (PARTITION BY n ORDER BY doc_id NULLS LAST, rn) = 1 AS kept,
        sha256(n) AS text_sha256
 FROM t
 """

@@ -218,6 +218,8 @@ NEAR_WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Pairs that met and differ in more SimHash bits are not compared; at SIMILARITY 10 bits are expected, with a deviation of 3.
 NEAR_BITS = 26
+#: Members of a cluster that one task compares, or twice as many of a larger cluster.
+CLUSTER_ROWS = 4_096
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -271,27 +273,44 @@ def set_classes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def near_classes(members: DataFrame) -> DataFrame:
-    """(key, root): the class of each member (cluster, key, text), from exact comparisons inside its cluster."""
+    """(key, root): the class of each member (cluster, key, text), from exact comparisons inside its cluster.
+
+    A cluster of more than CLUSTER_ROWS members is dealt to blocks of about that many, every two of them are compared in a task of their own,
+    and what the tasks have linked is joined to classes.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, keys, sets = None, [], []
+        cell, keys, sets = None, [], []
 
         def told() -> pa.RecordBatch:
             roots = [keys[i] for i in set_classes(sets).tolist()]
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(roots, pa.binary())], ["key", "root"])
 
         for batch in batches:
-            for c, key, text in zip(*(batch.column(i) for i in range(3))):
-                if c.as_py() != cluster:
+            for cluster, number, key, text in zip(*(batch.column(i) for i in range(4))):
+                if (cluster.as_py(), number.as_py()) != cell:
                     if keys:
                         yield told()
-                    cluster, keys, sets = c.as_py(), [], []
+                    cell, keys, sets = (cluster.as_py(), number.as_py()), [], []
                 keys.append(key.as_py())
                 sets.append(np.unique(shingles(text.as_py(), NEAR_WIDTH)))
         if keys:
             yield told()
 
-    return members.repartition("cluster").sortWithinPartitions("cluster", "key").mapInArrow(compare, "key binary, root binary")
+    sizes = materialize(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS).alias("parts")).filter("parts > 1"), "large-clusters")
+    large = not sizes.isEmpty()
+    cells = members.withColumn("cell", F.lit(0).cast("long"))
+    if large:
+        own = F.pmod(F.xxhash64("key"), F.col("parts"))
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other))
+        met = members.join(sizes, "cluster", "left")
+        cells = met.select("cluster", "key", "text", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(each)).alias("cell"))
+    dealt = cells.select("cluster", "cell", "key", "text").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "key")
+    found = dealt.mapInArrow(compare, "key binary, root binary")
+    if not large:
+        return found
+    links = connected_components(materialize(found.filter("key <> root").distinct().select(F.col("key").alias("a"), F.col("root").alias("b")), "near-links"))
+    return links.select(F.col("node").alias("key"), "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
