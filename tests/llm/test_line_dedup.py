@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trawlframe.llm import line_dedup
+from trawlframe.llm import common, line_dedup
 
 from .helpers import documents, duck, same, written
 
@@ -62,12 +62,14 @@ def test_crowded_segments_match_brute_force(spark, monkeypatch):
     assert near and near <= found
 
 
-def test_the_filter_keeps_every_wanted_line(spark):
-    rows = spark.range(5000).selectExpr("xxhash64(id) as id", "id as n")
-    wanted = line_dedup.materialize(rows.filter("n % 50 = 0").select("id"), "wanted")
-    found = line_dedup.likely(rows, wanted).collect()
-    assert {r.n for r in found} >= set(range(0, 5000, 50)) and len(found) < 1000
-    assert line_dedup.likely(rows, wanted.limit(0)).count() == 0
+@pytest.mark.parametrize("wanted_share", [50, 1])
+def test_the_filter_keeps_every_wanted_row(spark, wanted_share, monkeypatch):
+    monkeypatch.setattr(common, "MAX_BITS", 1 << 17)
+    rows = spark.range(20_000).selectExpr("xxhash64(id) as id", "id as n")
+    wanted = line_dedup.materialize(rows.filter(f"n % {wanted_share} = 0").select("id"), "wanted")
+    found = common.likely(rows, wanted).collect()
+    assert {r.n for r in found} >= set(range(0, 20_000, wanted_share)) and (wanted_share == 1 or len(found) < 2500)
+    assert common.likely(rows, wanted.limit(0)).count() == 0
 
 
 def test_two_lines_of_a_million_characters(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..session import table
-from .common import WORD, materialize, numbered
+from .common import WORD, likely, materialize, numbered
 from .components import connected_components
 
 THRESHOLD, MIN_CHARS = 2, 40
@@ -31,8 +31,6 @@ THRESHOLD, MIN_CHARS = 2, 40
 HOT, LEVELS = 512, 6
 #: In groups of more than FEW lines, blocks are compared before a pair is listed.
 FEW, BLOCKS = 8, 16
-#: Bits of the filter for lines that are worth a shuffle: so many a line, but never more than MAX_BITS in all (32 MB).
-BITS_EACH, MAX_BITS = 16, 1 << 28
 
 
 def lines_of(docs: DataFrame, uid: str) -> DataFrame:
@@ -98,21 +96,6 @@ def candidates(rows: DataFrame) -> DataFrame:
     return keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
 
 
-def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id is, or by chance may be, in the written table wanted (id): a bitmap of bounded size goes to all tasks, so that few rows are left to join.
-
-    Join them by an inner join: a semi join would be moved below the filter.
-    """
-    n = wanted.count()
-    bits = min(max(1 << (BITS_EACH * n).bit_length(), 1 << 15), MAX_BITS)
-    place = lambda: F.pmod(F.col("id"), F.lit(bits))
-    bitmap = wanted.select(place().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    at = F.bitmap_bit_position(F.col("at"))
-    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("at", place()).withColumn("bucket", F.bitmap_bucket_number("at")).join(F.broadcast(bitmap), "bucket")
-    return met.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
-
-
 def parted(rows: DataFrame, threshold: int) -> DataFrame:
     """(key, id, own, n, rest) of rows (key, id, rest) under each segment that another row of the same key shares; rest is without the segment."""
 

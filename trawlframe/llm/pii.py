@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import materialize, numbered
+from .common import likely, materialize, numbered
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 SECRET, TERM_KIND = 4, 5
@@ -38,8 +38,6 @@ SECRET_BITS, SECRET_ENTROPY = 64.0, 3.0
 #: A word that may disclose: letters and digits, two or more.
 TERM = r"[\p{L}\p{N}]{2,}+"
 MIN_CONTEXTS, MAX_DISCLOSURE, REMOVE_DISCLOSURE = 2, 0.5, 0.95
-#: Up to so many terms are sent to all tasks, which then count no others; more are joined.
-FEW_TERMS = 200_000
 
 
 def information(value: Column) -> Column:
@@ -92,16 +90,11 @@ def words_of(text: str = "text") -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def document_frequencies(docs: DataFrame, wanted: DataFrame, few: int = FEW_TERMS) -> DataFrame:
-    """(term, df) over all whole documents for the written terms `wanted`; words are made distinct inside a document and summed before the shuffle.
-
-    Where those are few enough to be sent to all tasks, no other word is counted; else all words are, and joined.
-    """
-    words = docs.select(F.explode(words_of()).alias("term"))
-    if wanted.count() <= few:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term", "left_semi")
+def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df) over all whole documents for the written terms `wanted`; words are made distinct inside a document, mostly left out by a bitmap if they are others, and summed before the shuffle."""
+    words = docs.select(F.explode(words_of()).alias("term")).withColumn("id", F.xxhash64("term"))
+    counted = likely(words, wanted.select(F.xxhash64("term").alias("id"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counted.join(wanted, "term")
 
 
 def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFrame:
@@ -113,7 +106,7 @@ def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFram
     return each.groupBy(*by).agg(F.sum("count").alias(name), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_contexts).drop("k")
 
 
-def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS, few: int = FEW_TERMS) -> DataFrame:
+def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disclosure: float = MAX_DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(uid, term, disclosure) of the documents (uid, entity) that hold an entity and the terms that disclose it beyond the threshold, each once."""
     entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min_contexts)
     held = materialize(held.join(entities, "entity"), "recurring-entities")
@@ -123,7 +116,7 @@ def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disc
     words = materialize(sets.select("uid", "context", F.explode("words").alias("term")), "words-with-entities")
     pairs = materialize(several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts), "entity-terms")
     wanted = materialize(pairs.select("term").distinct(), "terms-with-entities")
-    known = pairs.join(document_frequencies(docs, wanted, few), "term")
+    known = pairs.join(document_frequencies(docs, wanted), "term")
     n = F.lit(float(n_docs))
     pmi = F.log2(F.col("both") * n / (F.col("held") * F.col("df")))
     known = known.withColumn("disclosure", F.try_divide(pmi, F.log2(n / F.col("held"))))
