@@ -4,8 +4,8 @@ import time
 
 import pytest
 
-from trawlframe import config
-from trawlframe.operators import fetch, frontier, metrics, retry
+from trawlframe import config, storage
+from trawlframe.operators import extract, fetch, frontier, metrics, retry, saving
 from trawlframe.operators.retry import Cancelled, RetryConfig
 from trawlframe.plans import queries
 from trawlframe.session import spread
@@ -221,3 +221,117 @@ def test_crawl_of_a_table(spark, sf, tmp_path):
     settings = config.CrawlConfig(url="https://site.example/p/0", max_count=4, output_dir=str(tmp_path))
     found = crawl(spark, settings, table_fetcher(pages)).orderBy("rank").collect()
     assert [r.url.rsplit("/", 1)[1] for r in found] == ["0", "1", "3", "10"] and (tmp_path / "p/0.html").exists()
+
+
+def test_pages_are_rewritten_whatever_their_ids(spark):
+    doc = '<A class=x HREF="two.html#f">2</A><img alt="a>b" src=/i.png><a href="http://o.example/">o</a><!-- <a href="no"> -->'
+    rows = [(1, "http://h.example/one", doc), (1, "http://h.example/deep/one", doc), (None, "http://h.example/", doc), (2, "http://h.example/x", None), (3, "http://h.example/y", "plain")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.url: r.html for r in saving.rewritten(pages).collect()}
+    new = '<A class=x href="./two.html.html">2</A><img alt="a>b" src="./i.png"><a href="http://o.example/">o</a><!-- <a href="no"> -->'
+    assert found["http://h.example/one"] == found["http://h.example/"] == new
+    assert found["http://h.example/deep/one"] == new.replace("./i.png", "../i.png")
+    assert found["http://h.example/x"] is None and found["http://h.example/y"] == "plain"
+    plan = saving.rewritten(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_fetch_shuffles_keys_before_content(spark, tmp_path):
+    rows = [(2, "a", "second"), (1, "a", "first"), (1, "a", "first again"), (None, "a", "no id"), (5, "b", "x" * 9), (None, "c", "alone")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    got = fetch.fetched(tables.seeds(spark, "a", "b", "c", "d"), spark.read.parquet(f"{tmp_path}/pages"), 8)
+    assert sorted((r.url, r.content, r.skipped_on) for r in got.collect()) == [("a", "first", None), ("b", None, "download"), ("c", "alone", None), ("d", None, "download")]
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, x in enumerate(lines) if "Aggregate" in x and "first" in x)  # what names the pages, and all below it
+    assert not any("html" in x for x in lines[first:])
+
+
+def test_asset_occurrences_are_rows(spark):
+    found = spark.createDataFrame([("a", 1), ("a", 2), ("a", 1), ("b", 2)], "asset_url string, page_id long")
+    assert sorted(map(tuple, extract.occurrences(found).collect())) == [("a", 1, 2), ("a", 2, 1), ("b", 2, 1)]
+    assert sorted(map(tuple, extract.occurrences_by_url(found).collect())) == [("a", 3, "1,1,2"), ("b", 1, "2")]
+
+
+def test_edges_are_not_shuffled_again(spark):
+    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(50)], "src_url string, dst_url string")
+    with frontier.dealt(edges, "src_url") as laid:
+        plan = laid.join(edges.select("src_url").hint("merge"), "src_url")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and laid.count() == 50
+        name = laid.inputFiles()[0]
+    assert name and not [t for t in spark.catalog.listTables() if t.name.startswith("trawlframe_edges")]
+
+
+def test_growing_table(spark):
+    grown = storage.Batches(spark, "test", "x long")
+    assert grown.upto(0).count() == 0
+    grown.put(spark.range(3).selectExpr("id as x"), 0)
+    grown.put(spark.range(5).selectExpr("id as x"), 1)
+    grown.put(spark.range(2).selectExpr("id as x"), 1)  # a batch that is run again
+    assert grown.upto(1).count() == 3 and grown.upto(2).count() == 5
+
+
+def test_tables_are_removed_when_told(spark):
+    import os
+
+    before = storage.written()
+    kept, gone = (storage.materialize(spark.range(3).toDF("x"), "t") for _ in range(2))
+    storage.release(before, kept)
+    assert kept.count() == 3 and not os.path.exists(gone._trawlframe_path)
+    storage.discard(kept, spark.range(1))
+    assert not os.path.exists(kept._trawlframe_path)
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+
+
+def test_stream_frontier_goes_on_after_a_restart(spark, tmp_path):
+    def part(i, urls):
+        rows = [(u, "page", 10 * i + k) for k, u in enumerate(urls)]
+        spark.createDataFrame(rows, "url string, kind string, ord long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+
+    def source():
+        return spark.readStream.schema("url string, kind string, ord long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+    part(0, ["a", "b"])
+    part(1, ["b", "c"])
+    assert {r.url for r in stream.StreamFrontier(spark, 4, f"{tmp_path}/f").run(source()).collect()} == {"a", "b", "c"}
+    part(2, ["a", "d", "e"])
+    assert {r.url for r in stream.StreamFrontier(spark, 4, f"{tmp_path}/f").run(source()).collect()} == {"a", "b", "c", "d"}
+
+
+def test_streams_over_several_batches(spark, sf, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages.repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    source = lambda: spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/pages.parquet")
+    assert stream.drain(stream.seen_dedup(stream.urls_of(source())), "t").count() == queries.seen_dedup(spark, sf).count()
+    assert stream.drain(stream.page_links(source()), "t").count() == queries.page_links(spark, sf).count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_command_line(tmp_path):
+    """A whole crawl by the command line: progress by level, a summary, files."""
+    import os
+    import subprocess
+    import sys
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), LinkedSite)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    args = [sys.executable, "-m", "trawlframe", "--url", f"http://127.0.0.1:{server.server_port}/", "--output-dir", str(tmp_path), "--max-concurrent=2", "--retry-delay=10ms"]
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "SPARK_MASTER": "local[2]"}
+    done = subprocess.run(args, env=env, capture_output=True, text=True, timeout=300)
+    server.shutdown()
+    assert done.returncode == 0 and "pages and" in done.stderr and "crawl finished" in done.stderr and (tmp_path / "index.html").exists()
+    bad = subprocess.run([*args[:3], "--url="], env=env, capture_output=True, text=True, timeout=100)
+    assert bad.returncode == 2

@@ -31,17 +31,27 @@ def test_same_as_sql(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+def entry_in(folder: Path, code: str) -> subprocess.CompletedProcess:
+    (folder / "run.py").write_text(f"import sys; sys.path.insert(0, {str(folder)!r})\n" + code)
+    (folder / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    return subprocess.run([sys.executable, "run.py"], cwd=folder, check=True, capture_output=True, text=True)
+
+
+CRAWL_ONLY = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert 'page_links' in q and 'pipeline' not in q"
+
+
 def test_imports_without_the_training_data_part(tmp_path):
-    for p in ROOT.iterdir():
-        if p.name in ("__spark_entry__.py",):
-            (tmp_path / p.name).symlink_to(p)
     (tmp_path / "trawlframe").mkdir()
     for p in (ROOT / "trawlframe").iterdir():
         if p.name not in ("llm", "__pycache__"):
             (tmp_path / "trawlframe" / p.name).symlink_to(p)
-    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert 'page_links' in q and 'pipeline' not in q"
-    (tmp_path / "run.py").write_text(f"import sys; sys.path.insert(0, {str(tmp_path)!r})\n" + code)
-    spec = (tmp_path / "__spark_entry__.py").resolve().read_text()
-    (tmp_path / "__spark_entry__.py").unlink()
-    (tmp_path / "__spark_entry__.py").write_text(spec)
-    subprocess.run([sys.executable, "run.py"], cwd=tmp_path, check=True)
+    assert "UserWarning" not in entry_in(tmp_path, CRAWL_ONLY).stderr
+
+
+@pytest.mark.skipif(not (ROOT / "corpus_pipeline.py").exists(), reason="the training-data part is not there")
+@pytest.mark.parametrize("library", ["xxhash", "numpy"])
+def test_imports_without_a_library_of_that_part(tmp_path, library):
+    (tmp_path / "trawlframe").symlink_to(ROOT / "trawlframe")
+    (tmp_path / "corpus_pipeline.py").symlink_to(ROOT / "corpus_pipeline.py")
+    told = entry_in(tmp_path, f"sys.modules[{library!r}] = None\n" + CRAWL_ONLY)
+    assert "without the training-data operators" in told.stderr

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import numbered
-
 #: Largest content that is fetched.
 MAX_FILE_SIZE = 64 << 20
 
@@ -26,14 +24,14 @@ def guarded(pages: DataFrame, limit: int = MAX_FILE_SIZE) -> DataFrame:
 def fetched(frontier: DataFrame, pages: DataFrame, limit: int = MAX_FILE_SIZE) -> DataFrame:
     """frontier with content and skipped_on: what is missing or too large is skipped at 'download' but goes on, without content.
 
-    Fetching is an equi-join on the URL; of pages with the same URL the first stands for all (the smallest page_id, then the first row). The
-    pages are found by their keys alone; content is read for those that were asked for.
+    Fetching is an equi-join on the URL; of pages with the same URL the first stands for all (the smallest page_id, a null one last, then the smallest
+    html). The pages are found by their keys alone; content is read for those that were asked for.
     """
-    name = "__row_of_pages"
-    own = numbered(pages, name)
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no"), F.col("page_id").alias("id"), F.col(name).alias("row"))).alias("first")
-    asked = own.select("url", "page_id", name).join(frontier.select("url").distinct(), "url", "left_semi").groupBy("url").agg(first)
-    one = own.select(name, F.col("html").alias("content")).join(asked.select("url", F.col("first.row").alias(name)), name).drop(name)
+    key = F.struct(F.col("page_id").isNull().alias("no"), F.col("page_id").alias("id"))
+    asked = pages.select("url", "page_id").join(frontier.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min(key).alias("first"))
+    chosen = asked.select(F.col("url").alias("__url"), F.col("first.id").alias("__id"))
+    met = pages.join(chosen, (F.col("url") == F.col("__url")) & F.col("page_id").eqNullSafe(F.col("__id")))
+    one = met.groupBy("url").agg(F.min("html").alias("content"))
     joined = frontier.join(one, "url", "left")
     ok = F.col("content").isNotNull() & allowed(F.octet_length("content").cast("long"), limit)
     return joined.withColumn("skipped_on", F.when(~ok, "download")).withColumn("content", F.when(ok, F.col("content")))
