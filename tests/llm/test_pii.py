@@ -90,10 +90,22 @@ def test_terms_far_from_the_entity_go_everywhere(spark):
     assert out[62] == rows[62] and out[0] == rows[0]
 
 
+def test_near_copies_are_one_context(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    text = say(300) + " one@example.org " + say(100)
+    copies = [text.replace(" ", f" edit{i} ", 1) for i in range(12)]
+    others = [f"Quorl {say(120)} two@example.org {say(80)}" for _ in range(2)]
+    rows = [say(60) for _ in range(80)] + copies + others
+    found = pii.op4_pii(spark, written(documents(spark, rows), tmp_path)).toPandas().set_index("doc_id").sort_index()
+    assert found["n_term"].tolist()[:92] == [0] * 92 and found["n_email"].sum() == 14
+    assert all("term:0:5" in spans for spans in found["spans"][92:])
+
+
 def test_contexts_with_the_same_smallest_place(spark, tmp_path):
     same = "Copied words before one@example.org and after them, which are long enough to fill what is looked at around it, and more than that. "
     rows = ["ordinary words without anything in them"] * 50
-    rows += [f"{same}{'x ' * 60}Unusualname wrote {w} from one@example.org {w}" for w in ("today", "monday")]
+    rows += [f"{same}{' '.join(f'{w}{k}' for k in range(60))} Unusualname wrote {w} from one@example.org {w}" for w in ("today", "monday")]
     found = pii.op4_pii(spark, written(documents(spark, rows), tmp_path)).toPandas().set_index("doc_id")
     for i in (50, 51):
         words = {rows[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in found.loc[i, "spans"].split(",")) if k == "term"}
@@ -113,7 +125,7 @@ def brute_terms(rows):
     for held in entities.values():
         for term in set().union(*(words[i] for i in held)):
             both = [i for i in held if term in words[i]]
-            if len({frozenset(words[i]) for i in both}) < 2:
+            if len({frozenset(words[i]) for i in both}) < 2:  # copies; the rows have no other near copies
                 continue
             df = sum(term in w for w in words)
             bits = math.log2(len(docs) / len(held))

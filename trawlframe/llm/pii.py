@@ -5,8 +5,8 @@ own information (length times the entropy of its characters) is SECRET_BITS or m
 protected entity. The words of the documents that hold an entity are held against it: with document frequencies over the whole corpus, the pointwise
 mutual information of word and entity, as a share of the entity's information content, is what the word discloses. From
 MAX_DISCLOSURE on, and if the two meet in documents of MIN_CONTEXTS different contexts, the word is a span of kind term wherever it
-stands in a document that holds the entity: it is generalised, and from REMOVE_DISCLOSURE on removed. The context of a document is the set of its words,
-so that copies of a text are one context; a single context is no evidence, as every rare word of it would disclose everything.
+stands in a document that holds the entity: it is generalised, and from REMOVE_DISCLOSURE on removed. Near copies of a text are one context (by
+sketches of their runs of RUN words, ALIKE of MINIMA or more alike); a single context is no evidence, as every rare word of it would disclose everything.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Rows that share a doc_id are separate rows (and
 separate documents in the frequencies). An entity that every document holds has no information to disclose. A secret that overlaps a base span is
@@ -18,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..session import table
 from .common import likely, materialize, numbered
+from .components import connected_components
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 SECRET, TERM_KIND = 4, 5
@@ -34,10 +36,12 @@ PATTERNS = {
 #: What a text must contain for the pattern to be worth a try.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){13}", "phone": r"\+[0-9]", "secret": PATTERNS["secret"]}
 #: Bits that a secret holds at least, in all and a character.
-SECRET_BITS, SECRET_ENTROPY = 64.0, 3.0
+SECRET_BITS, SECRET_ENTROPY = 56.0, 3.0
 #: A word that may disclose: letters and digits, two or more.
 TERM = r"[\p{L}\p{N}]{2,}+"
 MIN_CONTEXTS, MAX_DISCLOSURE, REMOVE_DISCLOSURE = 2, 0.5, 0.95
+#: Near copies meet under one of MINIMA / BAND keys of BAND minima each and agree on ALIKE minima.
+RUN, MINIMA, BAND, ALIKE = 3, 32, 4, 24
 
 
 def information(value: Column) -> Column:
@@ -97,6 +101,24 @@ def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.join(wanted, "term")
 
 
+def contexts(own: DataFrame) -> DataFrame:
+    """(uid, context) of documents (uid, text): near copies share a context."""
+
+    def sketch(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - RUN, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(RUN)]))
+        return let(runs, lambda r: F.transform(F.sequence(F.lit(1), F.lit(MINIMA)), lambda k: F.array_min(F.transform(r, lambda h: F.xxhash64(h, k)))))
+
+    words = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower)
+    rows = materialize(own.select("uid", F.xxhash64("uid").alias("id"), let(words, sketch).alias("sketch")), "context-sketches")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(MINIMA // BAND - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * BAND + 1, F.lit(BAND))))
+    each = rows.select("id", "sketch", F.explode(bands).alias("band"))
+    first = each.groupBy("band").agg(F.min(F.struct("id", "sketch")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "first")
+    agree = F.size(F.filter(F.zip_with("sketch", "first.sketch", lambda x, y: x == y), lambda same: same))
+    edges = each.join(materialize(first, "context-bands"), "band").filter((F.col("id") != F.col("first.id")) & (agree >= ALIKE))
+    roots = connected_components(edges.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    return rows.select("uid", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("uid", F.coalesce("root", "id").alias("context"))
+
+
 def several(rows: DataFrame, *by: str, name: str, min_contexts: int) -> DataFrame:
     """by and the number of rows, as `name`, of the groups with enough different contexts."""
     if min_contexts <= 2:  # the smallest and largest tell whether there are two
@@ -112,8 +134,8 @@ def disclosing(docs: DataFrame, uid: str, held: DataFrame, n_docs: int, max_disc
     held = materialize(held.join(entities, "entity"), "recurring-entities")
     those = materialize(held.select("uid").distinct(), "documents-with-entities")  # small, so that no text is shuffled
     own = docs.select(F.col(uid).alias("uid"), "text").join(those, "uid", "left_semi")
-    sets = own.select("uid", words_of().alias("words")).withColumn("context", F.xxhash64(F.array_sort("words")))
-    words = materialize(sets.select("uid", "context", F.explode("words").alias("term")), "words-with-entities")
+    words = own.select("uid", F.explode(words_of()).alias("term"))
+    words = materialize(words.join(materialize(contexts(own), "contexts"), "uid"), "words-with-entities")
     pairs = materialize(several(held.join(words, "uid"), "entity", "held", "term", name="both", min_contexts=min_contexts), "entity-terms")
     wanted = materialize(pairs.select("term").distinct(), "terms-with-entities")
     known = pairs.join(document_frequencies(docs, wanted), "term")
