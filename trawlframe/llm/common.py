@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, numbered, shared_dir
 
-__all__ = ["BLANKS", "WORD", "crc_mod", "likely", "materialize", "numbered", "sampled", "shared_dir"]
+__all__ = ["BLANKS", "WORD", "crc_mod", "likely", "materialize", "numbered", "sampled", "shared_dir", "small"]
 
 #: The characters that separate words in every operator here.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -35,6 +35,16 @@ def sampled(df: DataFrame, by: str, bound: int | dict, seed: str) -> DataFrame:
     return df.filter(draw < share)
 
 
+#: Rows of a few numbers each that may be sent to all tasks; a larger table is joined by a shuffle.
+FEW_ROWS = 500_000
+
+
+def small(table: DataFrame, n: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has FEW_ROWS rows or fewer; n counts a row of arrays as its elements."""
+    size = table.agg(F.sum(n)).first()[0] if n is not None else table.count()
+    return F.broadcast(table) if (size or 0) <= FEW_ROWS else table
+
+
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose id is, or by chance may be, in the written table wanted (id, 64-bit hashes): a bitmap of bounded size goes to all tasks, so that few rows are left to join.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..session import table
-from .common import WORD, likely, materialize, numbered
+from .common import WORD, likely, materialize, numbered, small
 from .components import connected_components
 
 THRESHOLD, MIN_CHARS = 2, 40
@@ -92,8 +92,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Ids of the lines that share a segment with another line."""
     keys = rows.filter("keys is not null").select("id", F.explode("keys").alias("k")).filter("k is not null")
     keys = keys.select("id", F.shiftrightunsigned("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
-    shared = materialize(meeting(keys), "shared-segments")
-    return keys.join(shared.select("key"), "key", "left_semi").select("id").distinct()
+    shared = materialize(meeting(keys).select(F.col("key").alias("id")), "shared-segments")
+    met = likely(keys.select(F.col("id").alias("line"), F.col("key").alias("id")), shared)
+    return met.join(shared, "id").select(F.col("line").alias("id")).distinct()
 
 
 def parted(rows: DataFrame, threshold: int) -> DataFrame:
@@ -218,6 +219,10 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str, threshold: int) ->
     texts = lines_of(docs, uid).filter(F.char_length("line") >= MIN_CHARS).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
     lines = likely(texts, wanted).join(wanted, "id").groupBy("sha").agg(F.any_value("line").alias("line"))
     edges = materialize(links(lines, threshold), "line-links")
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    linked = edges.select(F.xxhash64("a").alias("id")).union(edges.select(F.xxhash64("b").alias("id")))
+    told = materialize(again.union(linked).distinct(), "lines-with-others")
+    rows = likely(rows, told).join(told, "id")  # all but lines that are alone
     counts = edges.select(F.col("a").alias("sha")).union(edges.select("b")).groupBy("sha").agg(F.count(F.lit(1)).alias("n_links"))
     roots = connected_components(edges).withColumnRenamed("node", "sha")
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"), F.col("pos").alias("pos"))
@@ -234,7 +239,8 @@ def repeated(docs: DataFrame, uid: str, threshold: int = THRESHOLD) -> DataFrame
     rows = materialize(occurrences(docs, uid, threshold), "line-occurrences")
     firsts = line_classes(rows, docs, uid, threshold)
     goes = (F.col("uid") != F.col("first_uid")) | (F.col("pos") != F.col("first_pos"))
-    found = rows.select("uid", "pos", "sha").join(firsts, "sha")
+    ids = materialize(firsts.select(F.xxhash64("sha").alias("id")).distinct(), "first-ids")
+    found = likely(rows.select("uid", "pos", "sha", "id"), ids).join(firsts, "sha")
     entry = F.when(goes, F.struct("pos", "first_doc", "first_pos"))  # collect_list leaves nulls out
     return found.groupBy("uid").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list(entry)).alias("dropped"))  # as many as the text has lines
 
@@ -245,7 +251,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     own = numbered(docs, name)
     cut = materialize(repeated(own, name, threshold).filter(F.size("dropped") > 0).select(F.col("uid").alias(name), F.col("dropped.pos").alias("__gone")), "dropped-lines")
     rest = let(F.split(F.col("text"), "\n", -1), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n"))
-    joined = own.join(cut, name, "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
+    joined = own.join(small(cut, F.size("__gone") + 4), name, "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
     joined = joined.filter(F.col("__gone").isNull() | F.col("__rest").rlike(WORD)).withColumn("text", F.coalesce("__rest", "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import materialize, numbered
+from .common import likely, materialize, numbered, small
 from .components import connected_components
 
 BITS, BUDGET, WIDTH, SEED = 64, 2, 3, 42
@@ -326,14 +326,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = materialize(rows.groupBy("key").agg(first), "distinct-sets")
     bands = rows.join(nodes.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("key", F.explode("bands").alias("band"))
     bands = materialize(bands, "bands")
-    shared = bands.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("band", "a")
-    met = bands.join(materialize(shared, "shared-bands"), "band").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
+    shared = bands.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select(F.col("band").alias("id"), "a")
+    shared = materialize(shared, "shared-bands")
+    met = likely(bands.select(F.col("band").alias("id"), "key"), shared.select("id")).join(shared, "id").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
     clusters = materialize(connected_components(met).select(F.col("root").alias("cluster"), F.col("node").alias("key")), "clusters")
     wanted = materialize(clusters.join(nodes, "key").select("cluster", "key", F.col("first.uid").alias(number)), "cluster-members")
-    found = materialize(near_classes(own.select(number, "text").join(wanted, number).select("cluster", "key", "text")), "near-classes")
+    found = materialize(near_classes(own.select(number, "text").join(small(wanted), number).select("cluster", "key", "text")), "near-classes")
     kept = nodes.join(found, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.uid").alias(number)), "kept-documents")
-    return own.join(kept, number, "left_semi").drop(number)
+    gone = materialize(rows.select(F.col("uid").alias(number)).join(kept, number, "left_anti"), "dropped-documents")  # fewer than those that stay
+    return own.join(small(gone), number, "left_anti").drop(number)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
