@@ -65,7 +65,7 @@ def test_edited_copies_go(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(30), 101}
 
 
-@pytest.mark.parametrize("rows", [7, 4_096])
+@pytest.mark.parametrize("rows", [7, 1_024])
 def test_near_copies_match_brute_force(spark, rows, monkeypatch):
     import random
 

@@ -218,8 +218,8 @@ NEAR_WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Pairs that met and differ in more SimHash bits are not compared; at SIMILARITY 10 bits are expected, with a deviation of 3.
 NEAR_BITS = 26
-#: Members of a cluster that one task compares, or twice as many of a larger cluster.
-CLUSTER_ROWS = 4_096
+#: Members of a cluster that one task compares at once; a larger cluster is compared by blocks.
+CLUSTER_ROWS = 1_024
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -275,8 +275,8 @@ def set_classes(sets: list[np.ndarray]) -> np.ndarray:
 def near_classes(members: DataFrame) -> DataFrame:
     """(key, root): the class of each member (cluster, key, text), from exact comparisons inside its cluster.
 
-    A cluster of more than CLUSTER_ROWS members is dealt to blocks of about that many, every two of them are compared in a task of their own,
-    and what the tasks have linked is joined to classes.
+    A cluster of more than CLUSTER_ROWS members is dealt to blocks, every two of them are compared in a task of their own, and what the tasks have
+    linked is joined to classes. Their number grows with the root of the members', and so do a task's rows and the copies of a member.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,7 @@ def near_classes(members: DataFrame) -> DataFrame:
         if keys:
             yield told()
 
-    sizes = materialize(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS).alias("parts")).filter("parts > 1"), "large-clusters")
+    sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER_ROWS).select("cluster", F.ceil(F.sqrt(F.col("n") * 16 / CLUSTER_ROWS)).alias("parts")), "large-clusters")
     large = not sizes.isEmpty()
     cells = members.withColumn("cell", F.lit(0).cast("long"))
     if large:
