@@ -16,20 +16,23 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark, tmp_path):
     rows += [(300, None, "aa", "b"), (301, "123 456", "aa", "b")]
     rows += [(302, rows[5][1], "aa", "b"), (303, rows[6][1] + "\nand a line of its own that nobody else has here", "aa", "b")]
     rows += [(304, " ".join(rows[7][1].split("\n")), rows[7][2], "b")]  # a copy in other lines
+    rows += [(305, rows[8][1] + " again, and more of it", rows[8][2], None), (305, "w " * 2_000, "aa", "b")]  # a repeated doc_id, a null source, a long text
     docs = documents(spark, rows)
+    for clash in ("uid", "score", "lang_pred", "pos", "line", "key", "band", "src", "tokens", "row", "length"):
+        docs = docs.withColumn(clash, F.lit("own"))
     folder = written(docs, tmp_path)
     ids, frame = [], spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         frame = corpus_pipeline.materialize(stage(spark, frame, folder), name)
         assert frame.columns == docs.columns
         ids.append({r.doc_id for r in frame.select("doc_id").collect()})
-    assert set(range(200)) | {302, 303, 304} == ids[0]
+    assert set(range(200)) | {302, 303, 304} <= ids[0] <= set(range(200)) | {302, 303, 304, 305}
     assert ids[1] == ids[0] - {302}
     assert ids[2] == ids[1] - {304}
-    assert ids[3] < ids[2] and len(ids[3]) > 0.8 * len(ids[2])
+    assert ids[3] < ids[2] and len(ids[3]) > 0.7 * len(ids[2])
     assert frame.filter("doc_id = 303").first() is None or frame.filter("doc_id = 303").first().text == "and a line of its own that nobody else has here"
     found = corpus_pipeline.run(spark, folder).toPandas()
-    assert set(found["doc_id"]) == ids[3] and (found.groupby("sequence_id")["length"].sum() <= 2048).all()
+    assert set(found["doc_id"]) == ids[3] and frame.filter("uid <> 'own'").count() == 0 and (found.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
 def test_a_corpus_without_languages_stays(spark):

@@ -94,7 +94,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     keys = keys.select("id", F.shiftrightunsigned("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).alias("own"))
     shared = materialize(meeting(keys).select(F.col("key").alias("id")), "shared-segments")
     met = likely(keys.select(F.col("id").alias("line"), F.col("key").alias("id")), shared)
-    return met.join(shared, "id").select(F.col("line").alias("id")).distinct()
+    return met.join(small(shared), "id").select(F.col("line").alias("id")).distinct()
 
 
 def parted(rows: DataFrame, threshold: int) -> DataFrame:
@@ -103,10 +103,11 @@ def parted(rows: DataFrame, threshold: int) -> DataFrame:
     def entry(own: int, cls: Column, i: int, at: Column, width: Column) -> Column:
         return F.struct(F.lit(own).alias("own"), F.xxhash64("key", cls, F.lit(i), F.substring(F.col("rest"), at + 1, width)).alias("key"), at.alias("at"), width.alias("width"))
 
-    each = sized(rows, "rest", threshold).select("id", "rest", F.explode(F.array(*segments("rest", threshold, entry))).alias("e")).filter("e is not null")
-    shared = materialize(meeting(each.select("e.key", "id", "e.own")), "line-segments")
-    rest = F.concat(F.substring("rest", F.lit(1), F.col("e.at")), F.substring(F.col("rest"), F.col("e.at") + F.col("e.width") + 1, F.length("rest")))
-    return each.join(shared, F.col("e.key") == F.col("key")).select("key", "id", "e.own", "n", rest.alias("rest"))
+    each = sized(rows, "rest", threshold).select(F.col("id").alias("line"), "rest", F.explode(F.array(*segments("rest", threshold, entry))).alias("e")).filter("e is not null")
+    each = each.select("line", "rest", F.col("e.key").alias("id"), "e.own", "e.at", "e.width")
+    shared = materialize(meeting(each.select(F.col("id").alias("key"), F.col("line").alias("id"), "own")).withColumnRenamed("key", "id"), "line-segments")
+    rest = F.concat(F.substring("rest", F.lit(1), F.col("at")), F.substring(F.col("rest"), F.col("at") + F.col("width") + 1, F.length("rest")))
+    return likely(each, shared.select("id")).join(small(shared), "id").select(F.col("id").alias("key"), F.col("line").alias("id"), "own", "n", rest.alias("rest"))
 
 
 def blocks(text: str, threshold: int) -> list[Column]:
@@ -139,10 +140,10 @@ def pairs(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
     rows, found = lines.select(F.lit(0).cast("long").alias("key"), "id", F.col("line").alias("rest")), []
     for level in range(1, LEVELS + 1):
         groups = materialize(parted(rows, threshold), "line-groups")
-        small = F.lit(level > 1) & (F.lit(level == LEVELS) | (F.col("n") <= hot))
+        few = F.lit(level > 1) & (F.lit(level == LEVELS) | (F.col("n") <= hot))
         if level > 1:
-            found.append(materialize(listed(groups.filter(small), threshold), "line-pairs"))
-        rows = groups.filter(~small).select("key", "id", "rest").distinct()
+            found.append(materialize(listed(groups.filter(few), threshold), "line-pairs"))
+        rows = groups.filter(~few).select("key", "id", "rest").distinct()
         if level > 1 and rows.isEmpty():
             break
     return reduce(DataFrame.union, found).distinct()
@@ -217,12 +218,12 @@ def line_classes(rows: DataFrame, docs: DataFrame, uid: str, threshold: int) ->
     """sha, first_doc, first_uid, first_pos and n_links of every line whose class occurs more than once."""
     wanted = materialize(candidates(rows), "candidate-lines")
     texts = lines_of(docs, uid).filter(F.char_length("line") >= MIN_CHARS).select(sha(F.col("line")).alias("sha"), "line").withColumn("id", F.xxhash64("sha"))
-    lines = likely(texts, wanted).join(wanted, "id").groupBy("sha").agg(F.any_value("line").alias("line"))
+    lines = likely(texts, wanted).join(small(wanted), "id").groupBy("sha").agg(F.any_value("line").alias("line"))
     edges = materialize(links(lines, threshold), "line-links")
     again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     linked = edges.select(F.xxhash64("a").alias("id")).union(edges.select(F.xxhash64("b").alias("id")))
     told = materialize(again.union(linked).distinct(), "lines-with-others")
-    rows = likely(rows, told).join(told, "id")  # all but lines that are alone
+    rows = likely(rows, told).join(small(told), "id")  # all but lines that are alone
     counts = edges.select(F.col("a").alias("sha")).union(edges.select("b")).groupBy("sha").agg(F.count(F.lit(1)).alias("n_links"))
     roots = connected_components(edges).withColumnRenamed("node", "sha")
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"), F.col("pos").alias("pos"))

@@ -324,13 +324,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(own.select(F.col(number).alias("uid"), "doc_id", "text")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))).alias("first")
     nodes = materialize(rows.groupBy("key").agg(first), "distinct-sets")
-    bands = rows.join(nodes.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("key", F.explode("bands").alias("band"))
-    bands = materialize(bands, "bands")
-    shared = bands.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select(F.col("band").alias("id"), "a")
+    bands = materialize(rows.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("id")), "bands")
+    shared = bands.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("id", "a")
     shared = materialize(shared, "shared-bands")
-    met = likely(bands.select(F.col("band").alias("id"), "key"), shared.select("id")).join(shared, "id").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
-    clusters = materialize(connected_components(met).select(F.col("root").alias("cluster"), F.col("node").alias("key")), "clusters")
-    wanted = materialize(clusters.join(nodes, "key").select("cluster", "key", F.col("first.uid").alias(number)), "cluster-members")
+    met = likely(bands, shared.select("id")).join(small(shared), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    clusters = materialize(connected_components(met).select(F.col("root").alias("cluster"), F.col("node").alias("id")), "clusters")
+    wanted = clusters.join(nodes.withColumn("id", F.xxhash64("key")), "id").select("cluster", "key", F.col("first.uid").alias(number))
+    wanted = materialize(wanted, "cluster-members")
     found = materialize(near_classes(own.select(number, "text").join(small(wanted), number).select("cluster", "key", "text")), "near-classes")
     kept = nodes.join(found, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.uid").alias(number)), "kept-documents")
