@@ -35,14 +35,14 @@ def sampled(df: DataFrame, by: str, bound: int | dict, seed: str) -> DataFrame:
     return df.filter(draw < share)
 
 
-#: Rows of a few numbers each that may be sent to all tasks; a larger table is joined by a shuffle.
-FEW_ROWS = 500_000
+#: Numbers that may be sent to all tasks (32 MB); a table of more is joined by a shuffle.
+FEW_NUMBERS = 4_000_000
 
 
-def small(table: DataFrame, n: Column | None = None) -> DataFrame:
-    """A written table, marked for broadcast if it has FEW_ROWS rows or fewer; n counts a row of arrays as its elements."""
-    size = table.agg(F.sum(n)).first()[0] if n is not None else table.count()
-    return F.broadcast(table) if (size or 0) <= FEW_ROWS else table
+def small(table: DataFrame, numbers: Column | int = 8) -> DataFrame:
+    """A written table, marked for broadcast if it holds FEW_NUMBERS or fewer, at so many a row."""
+    held = table.agg(F.sum(numbers)).first()[0] if isinstance(numbers, Column) else table.count() * numbers
+    return F.broadcast(table) if (held or 0) <= FEW_NUMBERS else table
 
 
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -272,6 +272,13 @@ def set_classes(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """(a, b): fewer edges that connect the same. Each b is linked to the smallest of its partners a, and these, as many as it has keys, to that one."""
+    partners = edges.groupBy("b").agg(F.collect_set("a").alias("all"))
+    least = F.array_min("all")
+    return partners.select(least.alias("a"), F.explode(F.concat(F.array("b"), "all")).alias("b")).filter("a <> b").distinct()
+
+
 def near_classes(members: DataFrame) -> DataFrame:
     """(key, root): the class of each member (cluster, key, text), from exact comparisons inside its cluster.
 
@@ -309,7 +316,7 @@ def near_classes(members: DataFrame) -> DataFrame:
     found = dealt.mapInArrow(compare, "key binary, root binary")
     if not large:
         return found
-    links = connected_components(materialize(found.filter("key <> root").distinct().select(F.col("key").alias("a"), F.col("root").alias("b")), "near-links"))
+    links = connected_components(thinned(materialize(found.filter("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b")), "near-links")))
     return links.select(F.col("node").alias("key"), "root")
 
 
@@ -328,7 +335,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("id", "a")
     shared = materialize(shared, "shared-bands")
     met = likely(bands, shared.select("id")).join(small(shared), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = materialize(connected_components(met).select(F.col("root").alias("cluster"), F.col("node").alias("id")), "clusters")
+    clusters = materialize(connected_components(thinned(met)).select(F.col("root").alias("cluster"), F.col("node").alias("id")), "clusters")
     wanted = clusters.join(nodes.withColumn("id", F.xxhash64("key")), "id").select("cluster", "key", F.col("first.uid").alias(number))
     wanted = materialize(wanted, "cluster-members")
     found = materialize(near_classes(own.select(number, "text").join(small(wanted), number).select("cluster", "key", "text")), "near-classes")
