@@ -129,3 +129,17 @@ def test_edit_distance(spark, budget):
         pairs.append((a, "".join(b)))
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within(F.col("a"), F.col("b"), budget).alias("near")).collect()
     assert all(r.near == (distance(r.a, r.b) <= budget) for r in got)
+
+
+def test_differences_in_letters_are_not_listed(spark, monkeypatch):
+    """Before, 40 copies with another word in one place were all listed in pairs."""
+    rng = random.Random(9)
+    base = "".join(rng.choice(ALPHABET) for _ in range(400))
+    lines = [base[:200] + "".join(rng.choice("abcdefgh") for _ in range(9)) + base[200:] for _ in range(40)]
+    lines += [x[:300] + "Z" + x[301:] for x in lines[:5]]
+    rows, listed, old = list(enumerate(lines)), [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: listed.append(old(df, name)) or listed[-1] if name == "line-pairs" else old(df, name))
+    found = {(r.a, r.b) for r in line_dedup.pairs(spark.createDataFrame(rows, "id long, line string"), 2).collect()}
+    near = {(i, j) for i in range(45) for j in range(i + 1, 45) if distance(lines[i], lines[j]) <= 2}
+    assert near == {(i, i + 40) for i in range(5)} and near <= found
+    assert len(found) < 100 and sum(x.count() for x in listed) < 400

@@ -5,7 +5,7 @@ classes of about the same length. Each line is indexed by threshold + 1 segments
 from its start, the others from its end, and probes the index of its class, and of the class below if a line that short may be alike, with
 the substrings that an alike line's segments can have moved to: if at most `threshold` edits part two lines, one segment is free of them and has no more
 edits on either side than there are other segments. Lines that share a segment are split again by segments of what is left of them;
-groups of up to HOT lines that agree on two segments or more list their pairs, without those that differ in too many blocks; larger ones go on for up to
+groups of up to HOT lines that agree on two segments or more list their pairs, without those that differ in too many letters or blocks; larger ones go on for up to
 LEVELS levels. Every listed pair is verified by a banded bit-parallel edit distance, and what was verified is counted as links and joined to classes.
 
 Every line with a word takes part; lines of fewer than MIN_CHARS characters only as equal ones, as an edit is much of a short line. Of a
@@ -31,6 +31,8 @@ THRESHOLD, MIN_CHARS = 2, 40
 HOT, LEVELS = 512, 6
 #: In groups of more than FEW lines, blocks are compared before a pair is listed.
 FEW, BLOCKS = 8, 16
+#: Letters that are counted before a pair is listed.
+LETTERS = "etaoinshrdlucmfw"
 
 
 def lines_of(docs: DataFrame, uid: str) -> DataFrame:
@@ -123,16 +125,19 @@ def blocks(text: str, threshold: int) -> list[Column]:
 def listed(members: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b, of the rows (key, id, own, n, rest) that share a key and may be alike.
 
-    In groups of more than FEW rows a pair has to agree on all but `threshold` blocks of what is left; that is looked at inside the join, so that no other pair leaves it.
+    An edit changes two of the numbers of LETTERS in what is left by one at most, and in groups of more than FEW rows a pair has to agree on all but
+    `threshold` blocks of it; that is looked at inside the join, so that no other pair leaves it.
     """
     held, moved = blocks("rest", threshold)
     many = F.col("n") > FEW
-    sides = sized(members, "rest", threshold).select("key", "id", "own", "__n", "__c", F.when(many, held).alias("held"), F.when(many, moved).alias("moved"))
+    bag = F.array(*[F.octet_length("rest") - F.octet_length(F.replace("rest", F.lit(c), F.lit(""))) for c in LETTERS]).alias("bag")
+    sides = sized(members, "rest", threshold).select("key", "id", "own", "__n", "__c", bag, F.when(many, held).alias("held"), F.when(many, moved).alias("moved"))
     x, y = sides.alias("x"), sides.alias("y")
     lost = F.size(F.filter(F.zip_with("x.held", "y.moved", lambda h, m: F.array_contains(m, h)), lambda found: ~found))
+    letters = reduce(Column.__add__, [F.abs(F.get("x.bag", F.lit(i)) - F.get("y.bag", F.lit(i))) for i in range(len(LETTERS))]) <= 2 * threshold
     near = F.col("x.held").isNull() | F.col("y.held").isNull() | (F.col("x.__c") != F.col("y.__c")) | (lost <= threshold)
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ((F.col("x.own") == 1) | (F.col("y.own") == 1))
-    return x.join(y, same & (F.abs(F.col("x.__n") - F.col("y.__n")) <= threshold) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return x.join(y, same & (F.abs(F.col("x.__n") - F.col("y.__n")) <= threshold) & letters & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def pairs(lines: DataFrame, threshold: int, hot: int = HOT) -> DataFrame:
