@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, numbered, shared_dir
 
-__all__ = ["BLANKS", "WORD", "crc_mod", "likely", "materialize", "numbered", "sampled", "shared_dir", "small"]
+__all__ = ["BLANKS", "WORD", "crc_mod", "likely", "materialize", "numbered", "sampled", "shared_dir", "sliced", "small"]
 
 #: The characters that separate words in every operator here.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -61,3 +65,20 @@ def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     bit = F.lit(56) - F.call_function("shiftright", at % 64, F.lit(3)) * 8 + at % 8
     word = F.get("__words", F.call_function("shiftright", at, F.lit(6)))
     return met.filter(F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
+#: Rows of a batch that a Python worker works on at once.
+SLICE_ROWS = 500
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """All rows of Arrow batches, a few at once, so that what a worker makes of them stays small. At the end what it has freed goes back to the system, as workers live on between tasks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass

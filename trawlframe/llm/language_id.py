@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import crc_mod, materialize, sampled
+from .common import crc_mod, materialize, sampled, sliced
 
 #: Rows of each language to learn from, about; all, if there are fewer.
 SAMPLE_ROWS = 2_000
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, letters = batch.column(at), batch.column(len(own)).to_pylist()
             out = [model.decode(model.margins(t.as_py())) if ok and model else (UND, 0.0, False) for t, ok in zip(texts, letters)]
             new = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]

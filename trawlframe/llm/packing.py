@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import materialize
+from .common import materialize, sliced
 
 CAPACITY, END = 2048, 0
 #: Rows that are ranked together, about: a length with more is split into parts, up to so many that one task can add them up.
@@ -37,9 +38,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow, self.fast, self.refused = Tokenizer.from_file(path), None, 0
+        self.path, self.fast, self.refused = path, None, 0
         try:
             import public_tokenizers
             import tiktoken
@@ -56,6 +55,12 @@ class Encoder:
         if {k: v for k, v in own.items() if v not in special.values()} == ranks:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast:
             try:
@@ -91,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer or tokenizer_path())
         row = TaskContext.get().partitionId() << 40  # the same if the task is run again
-        for batch in batches:
+        for batch in sliced(batches):
             at, out = [], []
             for place, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
