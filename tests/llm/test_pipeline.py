@@ -1,8 +1,10 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trawlframe.llm import language_id, simhash
+from trawlframe.llm import common, language_id, simhash
 
 from .helpers import documents, written
 from .test_learned import LANGS, speech
@@ -88,3 +90,29 @@ def test_near_copies_match_brute_force(spark, rows, monkeypatch):
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     kept = simhash.one_of_each(documents(spark, texts))
     assert {r.doc_id for r in kept.collect()} == set(label) and 6 < len(set(label)) < 150
+
+
+@pytest.mark.parametrize("split", [5, 20_000])
+def test_near_copies_are_brought_together_by_simhash(spark, split):
+    """Clusters are the components of fingerprints that share a block and differ in NEAR_BUDGET bits or fewer; before, keys of minima made them."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60, np.uint64))]
+    sets += [np.unique(np.append(sets[0][rng.random(60) < 0.9], rng.integers(0, 1 << 63, 5, np.uint64))) for _ in range(40)] + [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 30)]
+    fps = [simhash.near_fingerprints(x).reshape(simhash.FINGERPRINTS, simhash.WORDS) for x in sets]
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            differ = fps[i] ^ fps[j]
+            block = any((int(w) >> simhash.BLOCK_BITS * k) % (1 << simhash.BLOCK_BITS) == 0 for f in differ if np.bitwise_count(f).sum() <= simhash.NEAR_BUDGET for w in f for k in range(simhash.BLOCKS))
+            if block:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    nodes = spark.createDataFrame([(i, f.ravel().view(np.int64).tolist()) for i, f in enumerate(fps)], "id long, words array<long>")
+    found = {r.id: r.cluster for r in simhash.near_clusters(simhash.materialize(nodes, "nodes"), split).collect()}
+    assert [found.get(i, i) for i in range(len(fps))] == label and label[-3:] == [41, 42, 43] and len(set(label)) < 20
+
+
+def test_workers_get_small_batches():
+    """Before, all rows of an Arrow batch were held at once, with all that was made of them."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["n"]) for n in (1_203, 0, 500)]
+    parts = list(common.sliced(iter(batches), 500))
+    assert [x.num_rows for x in parts] == [500, 500, 203, 500] and [v for x in parts for v in x.column(0).to_pylist()] == [*range(1_203), *range(500)]

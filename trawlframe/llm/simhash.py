@@ -6,7 +6,7 @@ traversed together, with the bits that differ so far, until the error budget is
 fingerprint and enter the join once. A group emits a spanning forest of its links, not all pairs, and
 connected components over those forests give the classes.
 
-That is op9's contract. The pipeline's stage (one_of_each) has a wider notion of near copies, see there.
+That is op9's contract. The pipeline's stage (one_of_each) has a wider notion of near copies and joins longer fingerprints in the same way, see there.
 
 Null text counts as empty; texts without a word have fingerprint zero and link like any other. Rows that
 share a doc_id are separate rows; a null doc_id never names a class unless the class has no other.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import likely, materialize, numbered, small
+from .common import materialize, numbered, sliced, small
 from .components import connected_components
 
 BITS, BUDGET, WIDTH, SEED = 64, 2, 3, 42
@@ -91,29 +91,39 @@ class Forest:
         return i != j
 
 
-def trie_links(fps: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the links among sorted distinct fingerprints.
+def joined(forest: Forest, near: np.ndarray, lo: int, low: int) -> list[tuple[int, int]]:
+    """Links of the matrix `near` (rows from position lo, columns from low) that join trees, until its links join no more."""
+    links = []
+    while near.any():
+        x, y = (np.array([forest.find(at + i) for i in range(n)]) for at, n in ((lo, near.shape[0]), (low, near.shape[1])))
+        near = near & (x[:, None] != y[None, :])
+        rows = np.flatnonzero(near.any(axis=1))
+        links += [(lo + i, low + j) for i, j in zip(rows.tolist(), near[rows].argmax(axis=1).tolist()) if forest.link(lo + i, low + j)]
+    return links
+
+
+def trie_links(fps: np.ndarray, budget: int = BUDGET, leaf: int = LEAF, forest: Forest | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of positions, of the links among sorted distinct fingerprints (numbers, or rows of them, the highest first).
 
     A trie node is a range of the sorted array and a bit; the walk goes over pairs of nodes with the number
-    of bits in which they differ already.
+    of bits in which they differ already. A forest that is given says what is joined already.
     """
-    forest, links = Forest(len(fps)), []
-    stack = [(0, len(fps), 0, len(fps), BITS - 1, 0)]
+    words = fps.reshape(len(fps), -1)
+    forest, links, top = forest or Forest(len(fps)), [], BITS * words.shape[1] - 1
+    stack = [(0, len(fps), 0, len(fps), top, 0)]
 
     def halves(lo: int, hi: int, bit: int) -> tuple[tuple[int, int], tuple[int, int]]:
-        one = np.uint64(1 << bit)
-        middle = lo + int(np.searchsorted((fps[lo:hi] & one) != 0, True))
+        one = np.uint64(1 << bit % BITS)
+        middle = lo + int(np.searchsorted((words[lo:hi, (top - bit) // BITS] & one) != 0, True))
         return (lo, middle), (middle, hi)
 
     while stack:
         lo, hi, low, high, bit, errors = stack.pop()
         if lo == hi or low == high or errors > budget:
             continue
-        if (hi - lo) * (high - low) <= LEAF * LEAF or bit < 0:
-            near = np.bitwise_count(fps[lo:hi, None] ^ fps[None, low:high]) <= budget
-            if lo == low:
-                near = np.triu(near, 1)
-            links += [(lo + i, low + j) for i, j in np.argwhere(near).tolist() if forest.link(lo + i, low + j)]
+        if (hi - lo) * (high - low) <= leaf * leaf or bit < 0:
+            near = sum(np.bitwise_count(w[lo:hi, None] ^ w[None, low:high]) for w in words.T) <= budget
+            links += joined(forest, np.triu(near, 1) if lo == low else near, lo, low)
             continue
         zero, one = halves(lo, hi, bit)
         if lo == low:
@@ -214,36 +224,139 @@ def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
 
 #: Near copies for the pipeline share SIMILARITY of their different runs of NEAR_WIDTH words (Jaccard) or more.
 NEAR_WIDTH, SIMILARITY = 5, 0.8
-#: They meet under one of BANDS keys of ROWS minima each: a pair at SIMILARITY is missed by one in 17,000, a closer one more rarely.
-BANDS, ROWS = 32, 6
-#: Pairs that met and differ in more SimHash bits are not compared; at SIMILARITY 10 bits are expected, with a deviation of 3.
+#: They meet in one of FINGERPRINTS SimHashes of WORDS times 64 bits, in each of whose words BLOCKS blocks of BLOCK_BITS bits are keys. At SIMILARITY a bit of
+#: a longer text differs with a probability of 0.15, so that a pair has no block in common with one of 25,000; a closer one more rarely.
+FINGERPRINTS, WORDS, BLOCKS, BLOCK_BITS = 12, 2, 4, 14
+#: Bits of a whole fingerprint in which pairs that meet may differ: of 114 beside the block 17 are expected at SIMILARITY, with a deviation of 4, and 57 of unlike texts.
+NEAR_BUDGET = 30
+#: What the first fingerprints have joined is one class for the others, so that crowds of near copies are linked once.
+FIRST = 3
+#: Groups of so many are compared directly, many groups at once; in larger ones trie nodes of NEAR_LEAF fingerprints are.
+FEW, NEAR_LEAF = 16, 256
+#: Pairs that met and differ in more bits of one more SimHash are not compared; at SIMILARITY 10 bits are expected, with a deviation of 3.
 NEAR_BITS = 26
 #: Members of a cluster that one task compares at once; a larger cluster is compared by blocks.
 CLUSTER_ROWS = 1_024
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = np.random.default_rng(SEED).integers(0, 1 << 63, FINGERPRINTS * WORDS, np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band, of the smallest of the hashes under ROWS orders; none without a hash."""
+def near_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The FINGERPRINTS SimHashes of a sorted set of hashes, word by word; none without a hash. Where as many hashes have a bit as have not, the smaller half of them decides, an odd number."""
     if not len(hashes):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 1024):
-        np.minimum(low, ((hashes[None, i : i + 1024] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=low)
-    return [int.from_bytes(xxhash.xxh64_digest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k), "little", signed=True) for k in range(BANDS)]
+        return np.zeros(0, np.uint64)
+    ones, tie = np.zeros(BITS * len(_STEPS), np.int64), None
+    for i in range(0, len(hashes), 1 << 8):
+        x = hashes[i : i + (1 << 8), None] + _STEPS  # each word has hashes of its own, mixed as by splitmix64
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        if tie is None:
+            half = max(min(len(hashes) // 2, 1 << 7) - 1, 0) | 1
+            tie = 2 * bits[:half].sum(axis=0, dtype=np.int64) > half
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones + tie > len(hashes), bitorder="little").view(np.uint64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, key (the same for equal sets of word runs) and band keys; one row per document (uid, doc_id, text)."""
+    """uid, doc_id, key (the same for equal sets of word runs) and words, the fingerprints; one row per document (uid, doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(shingles(t.as_py(), NEAR_WIDTH)) for t in batch.column(2)]
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, bands], ["uid", "doc_id", "key", "bands"])
+            words = pa.array([near_fingerprints(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, words], ["uid", "doc_id", "key", "words"])
+
+    return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, words array<long>")
+
+
+def group_links(group: np.ndarray, label: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), labels that fingerprints within NEAR_BUDGET of each other link in rows that are sorted by group."""
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(cuts, len(group)))
+    found = []
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))  # a trie of so few is one leaf
+    for lag in range(1, FEW):
+        x, y = at[:-lag], at[lag:]
+        same = group[x] == group[y]
+        if not same.any():
+            break
+        x, y = x[same], y[same]
+        near = sum(np.bitwise_count(w[x] ^ w[y]) for w in fps.T) <= NEAR_BUDGET
+        found.append((label[x[near]], label[y[near]]))
+    for lo, size in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        order = lo + np.lexsort(fps[lo : lo + size].T[::-1])
+        own, forest = label[order], Forest(size)
+        _, at_first, back = np.unique(own, return_index=True, return_inverse=True)
+        forest.up = at_first[back].tolist()
+        if pairs := trie_links(fps[order], NEAR_BUDGET, NEAR_LEAF, forest):
+            ends = np.array(pairs)
+            found.append((own[ends[:, 0]], own[ends[:, 1]]))
+    a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    return a[a != b], b[a != b]
+
+
+def dealt(rows: DataFrame, groups: list[str], member: Column, most: int) -> tuple[DataFrame, bool]:
+    """rows with a column cell, and whether there are groups of more than `most`: such a group is dealt to blocks by member, and each two blocks are a cell.
+
+    The number of cells in which a row is grows with the root of the group's size, and so do a cell's rows; any two rows of a group meet in one.
+    """
+    parts = F.ceil(F.sqrt(F.col("n") * 16 / most)).alias("parts")
+    sizes = materialize(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*groups, parts), "large-groups")
+    one = F.lit(0).cast("long")
+    if sizes.isEmpty():
+        return rows.withColumn("cell", one), False
+    own = F.pmod(F.xxhash64(member), F.col("parts"))
+    each = F.transform(F.sequence(one, F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other))
+    met = rows.join(small(sizes, 2), groups, "left")
+    return met.select(*rows.columns, F.explode(F.when(F.col("parts").isNull(), F.array(one)).otherwise(each)).alias("cell")), True
+
+
+def near_links(nodes: DataFrame, first: int, last: int, split: int = SPLIT) -> DataFrame:
+    """(a, b): labels of nodes (label, words) that the fingerprints from first to last link, by tries inside equal blocks of bits."""
+    word = F.floor(F.col("block") / BLOCKS).cast("int")
+    value = F.call_function("shiftrightunsigned", F.get("words", word), (F.col("block") % BLOCKS) * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    key = (F.col("block") * (1 << BLOCK_BITS) + value).cast("int").alias("key")
+    begin = F.floor(F.col("block") / (BLOCKS * WORDS)).cast("int") * WORDS
+    names = [f"w{i}" for i in range(WORDS)]
+    per = BLOCKS * WORDS
+    each = nodes.filter(F.size("words") > 0).select("label", "words", F.explode(F.sequence(F.lit(first * per), F.lit(last * per - 1))).alias("block"))
+    keyed = each.select(key, "label", *[F.get("words", begin + i).alias(n) for i, n in enumerate(names)])
+    cells, _ = dealt(keyed, ["key"], F.col(names[0]), split)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            group = np.append(0, np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            a, b = group_links(group, rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
+            rows = rows if carry is None else np.concatenate([carry, rows])
+            if not len(rows):
+                continue
+            cut = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
+            carry = rows[cut:]  # the last group may go on
+            if cut:
+                yield told(rows[:cut])
+        if carry is not None:
+            yield told(carry)
+
+    ordered = cells.select("key", "cell", "label", *names).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return ordered.mapInArrow(join, "a long, b long")
+
 
-    return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+def near_clusters(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(cluster, id) of the nodes (id, words) that have links to others."""
+    found = materialize(near_links(nodes.select(F.col("id").alias("label"), "words"), 0, FIRST, split), "first-links")
+    roots = materialize(connected_components(thinned(found)), "first-clusters")
+    labels = nodes.join(small(roots.withColumnRenamed("node", "id"), 2), "id", "left").select(F.coalesce("root", "id").alias("label"), "words")
+    more = materialize(near_links(labels, FIRST, FINGERPRINTS, split), "more-links")
+    both = thinned(more).union(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return connected_components(both).select(F.col("root").alias("cluster"), F.col("node").alias("id"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -304,16 +417,9 @@ def near_classes(members: DataFrame) -> DataFrame:
         if keys:
             yield told()
 
-    sizes = materialize(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER_ROWS).select("cluster", F.ceil(F.sqrt(F.col("n") * 16 / CLUSTER_ROWS)).alias("parts")), "large-clusters")
-    large = not sizes.isEmpty()
-    cells = members.withColumn("cell", F.lit(0).cast("long"))
-    if large:
-        own = F.pmod(F.xxhash64("key"), F.col("parts"))
-        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other))
-        met = members.join(sizes, "cluster", "left")
-        cells = met.select("cluster", "key", "text", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(each)).alias("cell"))
-    dealt = cells.select("cluster", "cell", "key", "text").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "key")
-    found = dealt.mapInArrow(compare, "key binary, root binary")
+    cells, large = dealt(members, ["cluster"], F.col("key"), CLUSTER_ROWS)
+    ordered = cells.select("cluster", "cell", "key", "text").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "key")
+    found = ordered.mapInArrow(compare, "key binary, root binary")
     if not large:
         return found
     links = connected_components(thinned(materialize(found.filter("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b")), "near-links")))
@@ -323,20 +429,16 @@ def near_classes(members: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies (SIMILARITY) of a document with a smaller doc_id, with their own columns.
 
-    SimHash blocks cannot bring such pairs together: 64 bits in the twenty blocks that their distance asks for are three bits each.
-    So bands of minima name the pairs that may link, their components are clusters, and SimHash and exact sets decide inside those.
+    SimHash fingerprints link candidates: tries are walked inside equal blocks, as in op9, with more and longer fingerprints, as the error budget of
+    such pairs is fifteen times that of op9. Components of these links are clusters, and exact sets decide inside those.
     """
     number = "__row_of_simhash"
     own = numbered(docs, number)
     rows = materialize(sketches(own.select(F.col(number).alias("uid"), "doc_id", "text")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))).alias("first")
-    nodes = materialize(rows.groupBy("key").agg(first), "distinct-sets")
-    bands = materialize(rows.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("id")), "bands")
-    shared = bands.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("id", "a")
-    shared = materialize(shared, "shared-bands")
-    met = likely(bands, shared.select("id")).join(small(shared), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = materialize(connected_components(thinned(met)).select(F.col("root").alias("cluster"), F.col("node").alias("id")), "clusters")
-    wanted = clusters.join(nodes.withColumn("id", F.xxhash64("key")), "id").select("cluster", "key", F.col("first.uid").alias(number))
+    nodes = materialize(rows.groupBy("key").agg(first, F.any_value("words").alias("words")), "distinct-sets")
+    clusters = materialize(near_clusters(nodes.select(F.xxhash64("key").alias("id"), "words")), "clusters")
+    wanted = clusters.join(nodes.select("key", "first", F.xxhash64("key").alias("id")), "id").select("cluster", "key", F.col("first.uid").alias(number))
     wanted = materialize(wanted, "cluster-members")
     found = materialize(near_classes(own.select(number, "text").join(small(wanted), number).select("cluster", "key", "text")), "near-classes")
     kept = nodes.join(found, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
