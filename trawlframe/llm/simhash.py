@@ -224,8 +224,9 @@ def classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
 
 #: Near copies for the pipeline share SIMILARITY of their different runs of NEAR_WIDTH words (Jaccard) or more.
 NEAR_WIDTH, SIMILARITY = 5, 0.8
-#: They meet in one of FINGERPRINTS SimHashes of WORDS times 64 bits, in each of whose words BLOCKS blocks of BLOCK_BITS bits are keys. At SIMILARITY a bit of
-#: a longer text differs with a probability of 0.15, so that a pair has no block in common with one of 25,000; a closer one more rarely.
+#: They meet in one of FINGERPRINTS SimHashes of WORDS times 64 bits, in each of whose words BLOCKS blocks of BLOCK_BITS bits are keys. At SIMILARITY a bit
+#: differs with a probability of 0.15, so that a pair has no block in common with one of 25,000; a closer one more rarely. NEAR_BUDGET + 1 blocks, of
+#: which one would surely agree, would have four bits each.
 FINGERPRINTS, WORDS, BLOCKS, BLOCK_BITS = 12, 2, 4, 14
 #: Bits of a whole fingerprint in which pairs that meet may differ: of 114 beside the block 17 are expected at SIMILARITY, with a deviation of 4, and 57 of unlike texts.
 NEAR_BUDGET = 30
@@ -238,6 +239,9 @@ NEAR_BITS = 26
 #: Members of a cluster that one task compares at once; a larger cluster is compared by blocks.
 CLUSTER_ROWS = 1_024
 _STEPS = np.random.default_rng(SEED).integers(0, 1 << 63, FINGERPRINTS * WORDS, np.uint64)
+#: Each run of a text of SHORT runs or fewer has SHARES votes of its own bits. With one vote each, ties and whole steps of so few make pairs at SIMILARITY differ in up to twice as many bits.
+SHORT, SHARES = 40, 16
+_SHARES = np.random.default_rng(SEED + 1).integers(0, 1 << 63, SHARES, np.uint64)
 
 
 def near_fingerprints(hashes: np.ndarray) -> np.ndarray:
@@ -258,6 +262,14 @@ def near_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones + tie > len(hashes), bitorder="little").view(np.uint64)
 
 
+def near_words(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprints of a sorted set of hashes by its length, of one kind or of both: any two sets of SIMILARITY have a kind in common."""
+    kinds = [near_fingerprints(hashes)] if len(hashes) > SIMILARITY * SHORT else []
+    if len(hashes) <= SHORT:
+        kinds.append(near_fingerprints(np.sort((hashes[:, None] + _SHARES).ravel())))
+    return np.concatenate(kinds)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """uid, doc_id, key (the same for equal sets of word runs) and words, the fingerprints; one row per document (uid, doc_id, text)."""
 
@@ -265,7 +277,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             sets = [np.unique(shingles(t.as_py(), NEAR_WIDTH)) for t in batch.column(2)]
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            words = pa.array([near_fingerprints(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            words = pa.array([near_words(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, words], ["uid", "doc_id", "key", "words"])
 
     return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, words array<long>")
@@ -314,14 +326,16 @@ def dealt(rows: DataFrame, groups: list[str], member: Column, most: int) -> tupl
 
 
 def near_links(nodes: DataFrame, first: int, last: int, split: int = SPLIT) -> DataFrame:
-    """(a, b): labels of nodes (label, words) that the fingerprints from first to last link, by tries inside equal blocks of bits."""
+    """(a, b): labels of nodes (label, words) that the fingerprints from first to last link, by tries inside equal blocks of bits. Words may hold the fingerprints of two kinds."""
     word = F.floor(F.col("block") / BLOCKS).cast("int")
     value = F.call_function("shiftrightunsigned", F.get("words", word), (F.col("block") % BLOCKS) * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    key = (F.col("block") * (1 << BLOCK_BITS) + value).cast("int").alias("key")
-    begin = F.floor(F.col("block") / (BLOCKS * WORDS)).cast("int") * WORDS
-    names = [f"w{i}" for i in range(WORDS)]
     per = BLOCKS * WORDS
-    each = nodes.filter(F.size("words") > 0).select("label", "words", F.explode(F.sequence(F.lit(first * per), F.lit(last * per - 1))).alias("block"))
+    key = (F.col("block") % (per * FINGERPRINTS) * (1 << BLOCK_BITS) + value).cast("int").alias("key")
+    begin = F.floor(F.col("block") / per).cast("int") * WORDS
+    names = [f"w{i}" for i in range(WORDS)]
+    kinds = F.sequence(F.lit(0), F.size("words") - 1, F.lit(FINGERPRINTS * WORDS))
+    numbers = F.flatten(F.transform(kinds, lambda at: F.sequence(at * BLOCKS + first * per, at * BLOCKS + last * per - 1)))
+    each = nodes.filter(F.size("words") > 0).select("label", "words", F.explode(numbers).alias("block"))
     keyed = each.select(key, "label", *[F.get("words", begin + i).alias(n) for i, n in enumerate(names)])
     cells, _ = dealt(keyed, ["key"], F.col(names[0]), split)
 
