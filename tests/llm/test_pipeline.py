@@ -126,3 +126,20 @@ def test_short_edited_copies_go(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(400))
     sizes = {n: len(simhash.near_words(np.arange(1, n + 1, dtype=np.uint64))) // (simhash.FINGERPRINTS * simhash.WORDS) for n in (0, 1, 32, 33, 40, 41)}
     assert sizes == {0: 0, 1: 1, 32: 1, 33: 2, 40: 2, 41: 1}
+
+
+@pytest.mark.parametrize("labels", [50, 200_000])
+def test_a_crowd_of_near_copies_has_few_links(spark, labels, monkeypatch):
+    """Components are joined edge by edge, round by round. Before, every block of bits told a forest of its own and small groups all their pairs: 12 to 16 links a member of these crowds."""
+    monkeypatch.setattr(simhash, "TREE_LABELS", labels)
+    rng = np.random.default_rng(10)
+    base, edges = np.unique(rng.integers(0, 1 << 63, 100, np.uint64)), {}
+    for n in (150, 300, 600):
+        sets = [np.unique(np.append(base[rng.random(100) < 0.96], rng.integers(0, 1 << 63, 3, np.uint64))) for _ in range(n)]
+        nodes = simhash.materialize(spark.createDataFrame([(i, simhash.near_words(x).view(np.int64).tolist()) for i, x in enumerate(sets)], "label long, words array<long>"), "nodes")
+        found = simhash.materialize(simhash.near_links(nodes, 0, simhash.FIRST), "links")
+        edges[n] = simhash.thinned(found).count()
+        assert {r.root for r in simhash.connected_components(simhash.thinned(found)).collect()} == {0}
+        assert found.filter("a >= b").isEmpty() and found.count() <= 24 * n
+    if labels > 600:
+        assert all(n - 1 <= edges[n] <= 2 * n for n in edges)

@@ -283,6 +283,28 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, f"uid {docs.schema['uid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, words array<long>")
 
 
+#: Labels that a task joins to trees before it tells them and begins anew.
+TREE_LABELS = 200_000
+
+
+class Stars(Forest):
+    """Union-find over labels of any numbers; drawn() gives the links of all to the smallest of their trees."""
+
+    def __init__(self):
+        self.up = {}
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist()):
+            self.up.setdefault(i, i)
+            self.up.setdefault(j, j)
+            self.link(i, j)
+
+    def drawn(self) -> pa.RecordBatch:
+        pairs = np.array([(root, i) for i in self.up if (root := self.find(i)) != i], np.int64).reshape(-1, 2)
+        self.up = {}
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def group_links(group: np.ndarray, label: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a, b), labels that fingerprints within NEAR_BUDGET of each other link in rows that are sorted by group."""
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -326,7 +348,10 @@ def dealt(rows: DataFrame, groups: list[str], member: Column, most: int) -> tupl
 
 
 def near_links(nodes: DataFrame, first: int, last: int, split: int = SPLIT) -> DataFrame:
-    """(a, b): labels of nodes (label, words) that the fingerprints from first to last link, by tries inside equal blocks of bits. Words may hold the fingerprints of two kinds."""
+    """(a, b): labels of nodes (label, words) that the fingerprints from first to last link, by tries inside equal blocks of bits. Words may hold the fingerprints of two kinds.
+
+    A task tells what its groups connect, each label once and linked to the smallest: the members of a crowd meet in most blocks, and the crowd's smallest is the same in most.
+    """
     word = F.floor(F.col("block") / BLOCKS).cast("int")
     value = F.call_function("shiftrightunsigned", F.get("words", word), (F.col("block") % BLOCKS) * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
     per = BLOCKS * WORDS
@@ -340,12 +365,11 @@ def near_links(nodes: DataFrame, first: int, last: int, split: int = SPLIT) -> D
     cells, _ = dealt(keyed, ["key"], F.col(names[0]), split)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
+        carry, stars = None, Stars()
 
-        def told(rows: np.ndarray) -> pa.RecordBatch:
+        def join_groups(rows: np.ndarray) -> None:
             group = np.append(0, np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-            a, b = group_links(group, rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            stars.add(*group_links(group, rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)))
 
         for batch in batches:
             rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
@@ -355,9 +379,12 @@ def near_links(nodes: DataFrame, first: int, last: int, split: int = SPLIT) -> D
             cut = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
             carry = rows[cut:]  # the last group may go on
             if cut:
-                yield told(rows[:cut])
+                join_groups(rows[:cut])
+            if len(stars.up) > TREE_LABELS:
+                yield stars.drawn()
         if carry is not None:
-            yield told(carry)
+            join_groups(carry)
+        yield stars.drawn()
 
     ordered = cells.select("key", "cell", "label", *names).repartition("key", "cell").sortWithinPartitions("key", "cell")
     return ordered.mapInArrow(join, "a long, b long")
